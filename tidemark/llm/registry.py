@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, secrets, tokens, warc
+from . import embeddings, jaccard, mixing, packing, quality, secrets, tokens, warc
 
 QUERIES = {
     "op2_secret_ledger": secrets.op2_secret_ledger,
     "op3_token_files": tokens.op3_token_files,
+    "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
+    "op6_embedding_dedup": embeddings.op6_embedding_dedup,
     "op7_best_fit_pack": packing.op7_best_fit_pack,
     "op8_pareto_mix": mixing.op8_pareto_mix,
     "op9_zip_warc": warc.op9_zip_warc,
