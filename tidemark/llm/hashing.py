@@ -3,29 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 #: Odd multipliers of the polynomial hashes.
 B1, B2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
-_MEMO = 1_000_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_hashes) > _MEMO:
-        _hashes.clear()
-    return np.fromiter(map(_hashes.__getitem__, words), U, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,30 +52,79 @@ def anchors(keys: np.ndarray, span: int) -> np.ndarray:
 
 
 _TABLES = [np.frombuffer(hashlib.shake_256(b"bytes%d" % k).digest(2048), "<u8").astype(U) for k in range(2)]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows in pieces of about `size` bytes of the column, one row at least; nulls become empty."""
+    for batch in batches:
+        text = batch.column(column).cast(pa.binary()).fill_null(b"")
+        batch = batch.set_column(column, batch.schema.names[column], text)
+        ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            stop = min(max(stop, at + 1), at + 4096)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def word_codes(texts: pa.BinaryArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit code for every word of the texts, and where each text's words begin (one entry more than texts)."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    if not len(data):
+        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
+    space = _SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    word = ~space
+    begin = np.empty(len(data), bool)
+    begin[0], begin[1:] = True, space[:-1]
+    begin = np.flatnonzero((begin | edge[:-1]) & word)
+    if not len(begin):
+        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
+    at = np.flatnonzero(word)
+    first = np.searchsorted(at, begin)
+    length = np.diff(np.append(first, len(at)))
+    power = _power(B2, int(length.max()))
+    table = _TABLES[0][_LOWER] if lower else _TABLES[0]
+    terms = table[data[at]] * power[np.arange(len(at)) - np.repeat(first, length)]
+    return mix(np.add.reduceat(terms, first) ^ length.astype(U)), np.searchsorted(begin, offsets)
+
+
 _powers: dict = {}
 
 
-def _power(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    """At least n powers of the base; long ones are not kept."""
     got = _powers.get(int(base))
-    if got is None or len(got[0]) < n:
-        size = max(n, 1 << 17)
-        inverse = U(pow(int(base), -1, 1 << 64))
-        ones = np.ones(size, U)
-        up, down = ones.copy(), ones.copy()
-        up[1:], down[1:] = base, inverse
-        got = np.cumprod(up), np.cumprod(down)
-        if size <= 1 << 20:
+    if got is None or len(got) < n:
+        up = np.ones(max(n, 1 << 17), U)
+        up[1:] = base
+        got = np.cumprod(up)
+        if len(got) <= 1 << 20:
             _powers[int(base)] = got
     return got
 
 
+def _inverse(base: np.uint64) -> np.uint64:
+    return U(pow(int(base), -1, 1 << 64))
+
+
 class ByteHash:
     """Polynomial hashes of any substring of a byte string, from running sums."""
 
     def __init__(self, data: bytes, which: int = 0):
-        self.codes = _TABLES[which][np.frombuffer(data, np.uint8)]
-        up, self.down = _power((B1, B2)[which], len(data) + 1)
-        self.sums = np.concatenate([np.zeros(1, U), np.cumsum(self.codes * up[: len(data)])])
+        base, n = (B1, B2)[which], len(data)
+        self.down = _power(_inverse(base), n + 1)
+        self.sums = np.zeros(n + 1, U)
+        np.cumsum(_TABLES[which][np.frombuffer(data, np.uint8)] * _power(base, n + 1)[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix((self.sums[stop] - self.sums[start]) * self.down[start])

@@ -24,19 +24,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, table
-from .hashing import B1, B2, U, mix, signed, word_hashes, word_windows
+from .hashing import B1, B2, U, byte_slices, mix, signed, word_codes, word_windows
 from .tokens import slices
 
 WORDS, PERCENT = 5, 80
 COMMON, MAX_COMMON, SLICE = 16, 1_000_000, 8192
 
 
-def shingles(text: bytes, size: int) -> np.ndarray:
-    """Sorted distinct shingle hashes; ASCII letters lower-cased, words parted by ASCII white space."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, U)
-    return np.unique(word_windows(word_hashes(words), min(size, len(words))))
+def shingles(texts: pa.BinaryArray, size: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; ASCII letters lower-cased, words parted by ASCII white space."""
+    codes, at = word_codes(texts, lower=True)
+    whole, out = word_windows(codes, size), []
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+        s = np.sort(whole[i : j - size + 1] if j - i >= size else word_windows(codes[i:j], j - i) if j > i else whole[:0])
+        out.append(s[np.append(True, s[1:] != s[:-1])] if len(s) else s)
+    return out
 
 
 def prefix_length(n, percent: int):
@@ -48,15 +50,11 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(signed(flat)))
 
 
-def _texts(b: pa.RecordBatch, k: int = 1) -> list[bytes]:
-    return [t or b"" for t in b.column(k).cast(pa.binary()).to_pylist()]
-
-
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """Rows (doc_id, n, s1, s2) for documents and (token, df) for shingles met twice in a slice."""
 
     def run(batches):
-        kept, held = [], 0
+        kept, held, size_held = [], 0, 0
 
         def counts():
             tokens, df = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.zeros(0, U), np.zeros(0, np.int64))
@@ -67,45 +65,83 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(signed(tokens[at : at + n])), pa.array(df[at : at + n].astype(np.int64))], names=names)
 
         names = ["doc_id", "n", "s1", "s2", "token", "df"]
-        for b in slices(batches):
-            sets = [shingles(t, size) for t in _texts(b)]
-            s1, s2 = (np.array([mix(s ^ salt).sum(dtype=U) for s in sets], U) for salt in (B1, B2))
+        for b in byte_slices(batches, 1):
+            sets = shingles(b.column(1), size)
+            n = np.array([len(s) for s in sets], np.int64)
+            flat, ends = np.concatenate(sets), np.cumsum(n)
+            s1, s2 = (np.diff(np.append(U(0), np.append(U(0), np.cumsum(mix(flat ^ salt)))[ends])) for salt in (B1, B2))
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(s1)), pa.array(signed(s2)), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(signed(s1)), pa.array(signed(s2)), none, none], names=names)
             kept += sets
             held += len(sets)
-            if held >= SLICE or sum(map(len, kept)) > 8_000_000:
+            size_held += len(flat)
+            if held >= SLICE or size_held > 8_000_000:
                 yield from counts()
-                kept, held = [], 0
+                kept, held, size_held = [], 0, 0
         yield from counts()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, token long, df long")
 
 
 def prefixes(docs: DataFrame, size: int, percent: int, common, ranks) -> DataFrame:
-    """(doc_id, n, prefix): the first shingles in the global order. common: sorted hashes, ranks: their order."""
+    """(doc_id, n, prefix): the first shingles in the global order, as ascending unsigned keys.
+
+    A shingle's key is its hash without the lowest bit, or 2^63 + rank for the common ones (common: sorted hashes).
+    """
 
     def run(batches):
         table_, order = common.value, ranks.value
-        for b in slices(batches):
-            rows = []
-            for t in _texts(b):
-                s = shingles(t, size)
-                if len(s) and len(table_):
-                    at = np.searchsorted(table_, s)
-                    hit = table_[np.minimum(at, len(table_) - 1)] == s
-                    late = s[hit]
-                    s = np.concatenate([s[~hit], late[np.argsort(order[at[hit]])]])
-                rows.append((len(s), s[: prefix_length(len(s), percent)] if len(s) else s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in rows], pa.int64()), _lists([p for _, p in rows])], names=["doc_id", "n", "prefix"])
+        for b in byte_slices(batches, 1):
+            sets = shingles(b.column(1), size)
+            n = [len(s) for s in sets]
+            flat = np.concatenate(sets)
+            keys = flat >> U(1)
+            if len(table_):
+                at = np.minimum(np.searchsorted(table_, flat), len(table_) - 1)
+                hit = table_[at] == flat
+                keys[hit] = U(1 << 63) + order[at[hit]].astype(U)
+            rows, at = [], 0
+            for k in n:
+                rows.append(np.sort(keys[at : at + k])[: prefix_length(k, percent)] if k else keys[:0])
+                at += k
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), _lists(rows)], names=["doc_id", "n", "prefix"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, prefix array<long>")
 
 
+def may_link(pairs: DataFrame, prefixed: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) whose prefixes allow the similarity.
+
+    Up to the lesser of the last keys both prefixes are complete: what one has there and the other lacks is lost
+    to the intersection.
+    """
+    left = prefixed.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
+    right = prefixed.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+
+    def run(batches):
+        for batch in slices(batches, 4096):
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            x, y = batch.column(4), batch.column(5)
+            xo, yo, xv, yv = x.offsets.to_numpy(), y.offsets.to_numpy(), x.values.to_numpy().view(U), y.values.to_numpy().view(U)
+            keep = []
+            for k in range(batch.num_rows):
+                p, q = xv[xo[k] : xo[k + 1]], yv[yo[k] : yo[k + 1]]
+                m = min(p[-1], q[-1])
+                i, j = np.searchsorted(p, m, "right"), np.searchsorted(q, m, "right")
+                both = np.concatenate([p[:i], q[:j]])
+                both.sort()
+                most = int((both[1:] == both[:-1]).sum()) + min(na[k] - i, nb[k] - j)
+                keep.append((100 + percent) * most >= percent * (na[k] + nb[k]))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")
+    return joined.mapInArrow(run, "a long, b long")
+
+
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(t, size) for t in _texts(b)])], names=["doc", "tokens"])
+        for b in byte_slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(shingles(b.column(1), size))], names=["doc", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc long, tokens array<long>")
 
@@ -116,7 +152,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("tb"))
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, 1024):
             x, y = batch.column(2), batch.column(3)
             xo, yo, xv, yv = x.offsets.to_numpy(), y.offsets.to_numpy(), x.values.to_numpy(), y.values.to_numpy()
             keep = []
@@ -135,7 +171,7 @@ def components(spark: SparkSession, docs: DataFrame, size: int = WORDS, percent:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text)."""
     scratch = Scratch(spark, "jaccard")
     both = scratch.put(signatures(docs, size), "signatures")
-    sums = both.where("n IS NOT NULL").select("doc_id", "n", "s1", "s2")
+    sums = scratch.put(both.where("n IS NOT NULL").select("doc_id", "n", "s1", "s2"), "sums")
     counted = scratch.put(both.where("token IS NOT NULL").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= COMMON), "common")
     # as many powers of two of df, from the top, as MAX_COMMON rows hold: that many come to the driver and go out, 12 MB
     least, held = COMMON, 0
@@ -161,38 +197,54 @@ def components(spark: SparkSession, docs: DataFrame, size: int = WORDS, percent:
     groups = scratch.put(first.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("gid"), F.count("*").alias("members")), "groups")
     members = first.select("doc_id", "n", "p1", "p2").join(groups, ["n", "p1", "p2"]).select(F.col("doc_id").alias("member"), "gid", "members")
     members = scratch.put(members, "members")
-    rows = first.join(groups.select("gid"), F.col("doc_id") == F.col("gid"), "left_semi").select(F.explode("prefix").alias("token"), F.col("doc_id").alias("gid"), "n")
-    lead = rows.groupBy("token").agg(F.min(F.struct("n", "gid")).alias("lead"), F.max(F.struct("n", "gid")).alias("last")).where("lead.gid <> last.gid")
-    lead = scratch.put(lead.select("token", F.col("lead.n").alias("lead_n"), F.col("lead.gid").alias("lead")), "leads")
-    blocks = scratch.put(rows.join(lead.select(F.col("token").alias("__t"), "lead", "lead_n"), F.col("token") == F.col("__t")).drop("__t"), "blocks")
+    # rows of blocks: a set's key at a place of its prefix. If the key is the first that two sets share, the
+    # intersection is no larger than what either has from there on; a pair is taken where that is enough.
+    rows = first.join(groups.select("gid"), F.col("doc_id") == F.col("gid"), "left_semi").select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("at", "token"))
+    rows = rows.select("token", "gid", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("at")).cast("int").alias("left"))
+    lead = rows.groupBy("token").agg(F.min(F.struct("gid", "n", "left")).alias("lead"), F.max("gid").alias("last")).where("lead.gid <> last")
+    lead = scratch.put(lead.select("token", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.left").alias("lead_left")), "leads")
+    blocks = scratch.put(rows.join(lead.withColumnRenamed("token", "__t"), F.col("token") == F.col("__t")).drop("__t"), "blocks")
+    scratch.drop("signatures", "leads")
+    fits = lambda n, left, m, right: (100 + percent) * F.least(left, right) >= percent * (F.col(n) + F.col(m))
 
     # first candidates: each group with its block's first group, each member with its group's first
-    with_lead = blocks.where(f"gid <> lead AND 100 * lead_n >= {percent} * n").select(F.col("gid").alias("a"), F.col("lead").alias("b"))
+    with_lead = blocks.where((F.col("gid") != F.col("lead")) & fits("n", "left", "lead_n", "lead_left")).select(F.col("gid").alias("a"), F.col("lead").alias("b"))
     within = members.where("member <> gid").select(F.col("member").alias("a"), F.col("gid").alias("b"))
-    pairs = scratch.put(with_lead.union(within).distinct(), "pairs")
-    # everything that may take part in a later round is in a block of several groups or in a group of several members
-    concerned = blocks.select("gid").union(members.where("members > 1").select("gid")).distinct()
-    concerned = members.join(concerned, "gid").select("member")
-    texts = docs.join(concerned, F.col("doc_id") == F.col("member"), "left_semi").dropDuplicates(["doc_id"])
-    sets = scratch.put(sets_of(texts, size), "sets")
-    links = scratch.put(verify(pairs, sets, percent), "links1")
+    pairs = scratch.put(with_lead.distinct().union(within), "pairs")
+
+    def linked(candidates: DataFrame, k: int) -> DataFrame:
+        likely = scratch.put(may_link(candidates, first, percent), f"likely{k}")
+        concerned = likely.select("a").union(likely.select("b")).distinct()
+        texts = docs.join(concerned, F.col("doc_id") == F.col("a"), "left_semi").dropDuplicates(["doc_id"])
+        sets = scratch.put(sets_of(texts, size), f"sets{k}")
+        links = scratch.put(verify(likely, sets, percent), f"links{k}")
+        scratch.drop(f"sets{k}", f"likely{k}")
+        return links
+
+    links = linked(pairs, 1)
     parts = connected_components(spark, links, scratch)
-    parts = scratch.put(parts, "parts1")
 
     # rest: members of one block or group that are in different components
     label = members.join(parts, F.col("member") == F.col("node"), "left").select("member", "gid", "members", F.coalesce("component", "member").alias("c"))
     label = scratch.put(label, "labels")
-    mixed_groups = label.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.first("members").alias("members"))
-    in_block = blocks.select("token", "gid", "n").join(mixed_groups, "gid")
-    open_blocks = scratch.put(in_block.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select(F.col("token").alias("__t")), "open")
-    in_open = scratch.put(blocks.select("token", "gid", "n").join(open_blocks, F.col("token") == F.col("__t"), "left_semi").join(label.select("gid", "member", "c"), "gid").select("token", "n", "member", "c"), "in_open")
-    x, y = (in_open.select(*(F.col(c).alias(f"{c}{k}") for c in in_open.columns)) for k in "xy")
-    rest = x.join(y, (F.col("tokenx") == F.col("tokeny")) & (F.col("memberx") < F.col("membery")) & (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
-    same = label.where("members > 1").select(F.col("gid").alias("g"), F.col("member").alias("m"), F.col("c").alias("d"))
-    rest_in = label.where("members > 1").join(same, (F.col("gid") == F.col("g")) & (F.col("member") < F.col("m")) & (F.col("c") != F.col("d")))
-    rest = rest.select(F.col("memberx").alias("a"), F.col("membery").alias("b")).union(rest_in.select(F.col("member").alias("a"), F.col("m").alias("b"))).distinct()
-    rest = scratch.put(rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    more = scratch.put(verify(rest, sets, percent), "links2")
+    spread = scratch.put(label.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "spread")
+    open_ = scratch.put(blocks.join(spread, "gid").select("token", "gid", "n", "left", "lo", "hi"), "open")
+    still = scratch.put(open_.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select(F.col("token").alias("__t")), "still")
+    open_ = open_.join(still, F.col("token") == F.col("__t"), "left_semi")
+    x, y = (open_.select(*(F.col(c).alias(f"{c}{k}") for c in open_.columns)) for k in "xy")
+    apart = (F.col("lox") != F.col("loy")) | (F.col("hix") != F.col("hiy")) | (F.col("lox") != F.col("hix"))
+    rest = x.join(y, (F.col("tokenx") == F.col("tokeny")) & (F.col("gidx") < F.col("gidy")) & apart & fits("nx", "leftx", "ny", "lefty"))
+    rest = rest.select(F.col("gidx").alias("ga"), F.col("gidy").alias("gb")).distinct()
+    # expand the groups of a pair, and pair the members of one group
+    mine, other = (label.select(F.col("gid").alias(f"g{k}"), F.col("member").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
+    rest = rest.join(mine, "ga").join(other, "gb").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    several = label.where("members > 1").join(spread.where("lo <> hi").select("gid"), "gid", "left_semi")
+    mine, other = (several.select(F.col("gid").alias(f"g{k}"), F.col("member").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
+    inside = mine.join(other, (F.col("ga") == F.col("gb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b")
+    rest = rest.union(inside).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = scratch.put(rest, "rest")
+    scratch.drop("blocks", "open", "still", "spread")
+    more = linked(rest, 2)
     if more.head(1):
         parts = connected_components(spark, links.union(more), scratch)
     out = scratch.put(reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("__n"), F.col("s1").alias("__1"), F.col("s2").alias("__2"), F.coalesce("component", "rep").alias("__c")), "result")
