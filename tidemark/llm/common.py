@@ -48,6 +48,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Ids that a broadcast may carry: about 16 bytes each on an executor.
+BROADCAST_IDS = 500_000
+
+
+def rows_of(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is in ids(id), a written table: a few ids are sent to the rows, many meet them in a shuffle."""
+    few = ids.count() <= BROADCAST_IDS
+    ids = ids.select(F.col(ids.columns[0]).alias("__id"))
+    return docs.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col("__id"), "left_semi")
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch, max_rounds: int = 50) -> DataFrame:
     """Smallest node reachable from each node, by alternating large-star and small-star rounds.
 

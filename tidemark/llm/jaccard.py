@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, table
+from .common import Scratch, connected_components, rows_of, table
 from .hashing import B1, B2, U, byte_slices, mix, signed, word_codes, word_windows
 from .tokens import slices
 
@@ -214,8 +214,8 @@ def components(spark: SparkSession, docs: DataFrame, size: int = WORDS, percent:
 
     def linked(candidates: DataFrame, k: int) -> DataFrame:
         likely = scratch.put(may_link(candidates, first, percent), f"likely{k}")
-        concerned = likely.select("a").union(likely.select("b")).distinct()
-        texts = docs.join(concerned, F.col("doc_id") == F.col("a"), "left_semi").dropDuplicates(["doc_id"])
+        concerned = scratch.put(likely.select("a").union(likely.select("b")).distinct(), f"concerned{k}")
+        texts = rows_of(docs.select("doc_id", "text"), concerned).dropDuplicates(["doc_id"])
         sets = scratch.put(sets_of(texts, size), f"sets{k}")
         links = scratch.put(verify(likely, sets, percent), f"links{k}")
         scratch.drop(f"sets{k}", f"likely{k}")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import embeddings, jaccard, mixing, packing, quality, secrets, tokens, warc
+from . import embeddings, jaccard, mixing, packing, quality, secrets, suffixes, tokens, warc, windows
 
 QUERIES = {
+    "op1_window_dedup": windows.op1_window_dedup,
     "op2_secret_ledger": secrets.op2_secret_ledger,
     "op3_token_files": tokens.op3_token_files,
+    "op4_suffix_dedup": suffixes.op4_suffix_dedup,
     "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
     "op6_embedding_dedup": embeddings.op6_embedding_dedup,
     "op7_best_fit_pack": packing.op7_best_fit_pack,
