@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, packing, quality, secrets
+from tidemark.llm import jaccard, mixing, packing, quality, secrets
 from tidemark.llm.common import Scratch, table
 
 
@@ -12,6 +12,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(spark, docs, table(spark, sf_dir, "labels"))
 
 
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(spark, docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact(spark, docs, Scratch(spark, "ledger").path("entries"))
 
@@ -26,8 +30,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_jaccard),
     ("secret scans", secret_scan),
-    ("source mix", source_mix),
+    ("mixing sources to target weights", source_mix),
     ("best-fit packing", best_fit_packing),
 ]
 #: The labelled thresholds, hashes and packing are beyond SQL; tests hold run() against a brute-force version.
