@@ -117,14 +117,14 @@ def _inverse(base: np.uint64) -> np.uint64:
     return U(pow(int(base), -1, 1 << 64))
 
 
-class ByteHash:
-    """Polynomial hashes of any substring of a byte string, from running sums."""
+class RunHash:
+    """Polynomial hashes of any run of codes, from running sums."""
 
-    def __init__(self, data: bytes, which: int = 0):
-        base, n = (B1, B2)[which], len(data)
+    def __init__(self, codes: np.ndarray, base: np.uint64 = B1):
+        n = len(codes)
         self.down = _power(_inverse(base), n + 1)
         self.sums = np.zeros(n + 1, U)
-        np.cumsum(_TABLES[which][np.frombuffer(data, np.uint8)] * _power(base, n + 1)[:n], out=self.sums[1:])
+        np.cumsum(codes * _power(base, n + 1)[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix((self.sums[stop] - self.sums[start]) * self.down[start])
@@ -134,5 +134,23 @@ class ByteHash:
         return mix((self.sums[size:] - self.sums[:-size]) * self.down[:n]) if n > 0 else np.zeros(0, U)
 
 
+class ByteHash(RunHash):
+    """The same for a byte string; which: one of two independent hashes."""
+
+    def __init__(self, data: bytes, which: int = 0):
+        super().__init__(_TABLES[which][np.frombuffer(data, np.uint8)], (B1, B2)[which])
+
+
+def anchor_runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of each run with one anchor."""
+    lo = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+    return lo, np.diff(np.append(lo, len(at)))
+
+
+def spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo, lo + 1, ..., lo + n - 1 of each run, one after the other."""
+    return np.repeat(lo, n).astype(np.int64) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .hashing import ByteHash, anchors, byte_slices, signed
+from .hashing import ByteHash, anchor_runs, anchors, byte_slices, signed, spread
 
 SIZE = 400
 
@@ -47,8 +47,7 @@ def regions(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 first = ByteHash(text, 0)
                 names = first.grams(half)
                 at = anchors(names, size - half + 1)
-                lo = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                n = np.diff(np.append(lo, len(at)))
+                lo, n = anchor_runs(at)
                 anchor = at[lo]
                 second = ByteHash(text, 1)
                 body = second.of(lo, lo + n - 1 + size) + (anchor - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64)
@@ -73,7 +72,7 @@ def position_ranks(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
             for k, text in enumerate(b.column(1).to_pylist()):
                 i, j = offsets[k], offsets[k + 1]
                 n = ns[i:j]
-                at = np.repeat(los[i:j], n).astype(np.int64) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = spread(los[i:j], n)
                 at, single = at[at + size <= len(text)], np.repeat(alone[i:j], n)[: len(at)]
                 first, second = ByteHash(text, 0), ByteHash(text, 1)
                 out.append((first.of(at, at + half), second.of(at + half, at + size), np.full(len(at), b.column(0)[k].as_py()), at, single))

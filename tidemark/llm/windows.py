@@ -3,8 +3,10 @@
 Documents come in batches of ascending ids. Every window of `size` words has a fingerprint, the least hash of
 the shorter word grams in it, so equal windows have equal fingerprints and neighbours mostly share one. The
 index is a list of immutable runs of (hash, first document), each sorted by hash. A batch is merge-joined with
-the runs and with itself; documents that share a fingerprint are then compared by 128-bit hashes of their whole
-windows, which verifies the hits; the batch's new hashes become a run, and runs are compacted when there are many.
+the runs and with itself; the batch's new hashes become a run, and runs are compacted when there are many.
+Hits are verified on the texts. Neighbouring windows with one fingerprint form a region, and regions are compared
+by 128 bits of their words: those an earlier document has as a whole are gone as a whole. Where a fingerprint has
+several kinds of region, the windows of the first document of each kind are compared one by one, by 128 bits too.
 
 Defined cases: null or empty text has no words and no windows; a text shorter than a window keeps all words;
 windows of one document count against later documents only, never against itself; repeated rows of an id are
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .hashing import B1, B2, U, anchors, byte_slices, signed, word_codes, word_windows
+from .hashing import B1, B2, RunHash, U, anchor_runs, anchors, byte_slices, signed, spread, word_codes, word_windows
 
 SIZE, GRAM, BATCHES, FAN_IN = 13, 5, 2, 4
 
@@ -93,8 +95,13 @@ class FingerprintIndex:
         self.scratch.drop(*merged)
 
 
-def candidate_windows(docs: DataFrame, hits: DataFrame, size: int, gram: int) -> DataFrame:
-    """(h1, h2, doc_id, at) of the windows whose fingerprint is a hit of their document."""
+def _spans(per_doc: pa.ListArray, *fields: int) -> tuple:
+    flat = per_doc.values
+    return per_doc.offsets.to_numpy(), *(flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in fields)
+
+
+def candidate_regions(docs: DataFrame, hits: DataFrame, size: int, gram: int) -> DataFrame:
+    """(name, body, doc_id, lo, n): windows lo to lo + n - 1 have the fingerprint name, a hit of their document."""
     wanted = hits.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("hash").alias("hashes"))  # within one document
 
     def run(batches):
@@ -102,22 +109,59 @@ def candidate_windows(docs: DataFrame, hits: DataFrame, size: int, gram: int) ->
             hashes, out = b.column(2), []
             offsets, values = hashes.offsets.to_numpy(), hashes.values.to_numpy().view(U)
             for k, (codes, g, a) in enumerate(_per_doc(b.column(1), size, gram)):
-                at = np.flatnonzero(np.isin(g[a], values[offsets[k] : offsets[k + 1]]))
-                if len(at):
-                    out.append((word_windows(codes, size, B1)[at], word_windows(codes, size, B2)[at], np.full(len(at), b.column(0)[k].as_py()), at))
+                lo, n = anchor_runs(a)
+                hit = np.isin(g[a[lo]], values[offsets[k] : offsets[k + 1]])
+                lo, n = lo[hit], n[hit]
+                if len(lo):
+                    at = a[lo]
+                    body = RunHash(codes, B2).of(lo, lo + n - 1 + size) + (at - lo).astype(U) * B1 + n.astype(U)
+                    out.append((g[at], body, np.full(len(lo), b.column(0)[k].as_py()), lo, n))
             if out:
-                h1, h2, doc, at = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h1)), pa.array(signed(h2)), pa.array(doc), pa.array(at.astype(np.int32))], names=["h1", "h2", "doc_id", "at"])
+                name, body, doc, lo, n = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(signed(body)), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], names=["name", "body", "doc_id", "lo", "n"])
 
     joined = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "hashes")
+    return joined.mapInArrow(run, "name long, body long, doc_id long, lo int, n int")
+
+
+def single_windows(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+    """(h1, h2, doc_id, at): every window of the chosen regions(doc_id, lo, n)."""
+    per_doc = chosen.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("lo", "n")).alias("runs"))  # within one document
+
+    def run(batches):
+        for b in byte_slices(batches, 1):
+            offsets, los, ns = _spans(b.column(2), 0, 1)
+            codes, starts = word_codes(b.column(1))
+            out = []
+            for k, (i, j) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+                at = spread(los[offsets[k] : offsets[k + 1]], ns[offsets[k] : offsets[k + 1]])
+                own = codes[i:j]
+                at = at[at + size <= len(own)]
+                out.append((word_windows(own, size, B1)[at], word_windows(own, size, B2)[at], np.full(len(at), b.column(0)[k].as_py()), at))
+            h1, h2, doc, at = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h1)), pa.array(signed(h2)), pa.array(doc), pa.array(at.astype(np.int32))], names=["h1", "h2", "doc_id", "at"])
+
+    joined = docs.select("doc_id", "text").join(per_doc, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "runs")
     return joined.mapInArrow(run, "h1 long, h2 long, doc_id long, at int")
 
 
-def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + size, n), -1)
-    return np.cumsum(edge)[:n] > 0
+def verified(docs: DataFrame, hits: DataFrame, scratch: Scratch, size: int, gram: int) -> DataFrame:
+    """(doc_id, lo, n): runs of windows that an earlier document has."""
+    found = scratch.put(candidate_regions(docs, hits, size, gram), "regions")
+    kinds = scratch.put(found.groupBy("name", "body").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "kinds")
+    names = scratch.put(kinds.groupBy(F.col("name").alias("__n")).agg(F.count("*").alias("k"), F.max(F.expr("first <> last")).alias("s")).where("k > 1 OR s").select("__n", "k"), "names")
+    kinds = scratch.put(kinds.join(names, F.col("name") == F.col("__n")).where("k > 1 OR first <> last").select(F.col("name").alias("__n"), F.col("body").alias("__b"), "first", "k"), "open")
+    scratch.drop("kinds", "names")
+    told = found.join(kinds, (F.col("name") == F.col("__n")) & (F.col("body") == F.col("__b"))).where("doc_id > first OR k > 1")
+    told = scratch.put(told.select("doc_id", "lo", "n", F.expr("doc_id > first").alias("gone")), "told")
+    scratch.drop("regions", "open")
+    singles = scratch.put(single_windows(docs, told.where("NOT gone"), size), "singles")
+    firsts = singles.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
+    firsts = scratch.put(firsts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first"), "firsts")
+    late = singles.join(firsts, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where("doc_id > first")
+    marks = scratch.put(told.where("gone").select("doc_id", "lo", "n").union(late.select("doc_id", F.col("at").alias("lo"), F.lit(1).alias("n"))), "marks")
+    scratch.drop("told", "singles", "firsts")
+    return marks
 
 
 def cut(docs: DataFrame, marks: DataFrame, size: int) -> DataFrame:
@@ -126,19 +170,22 @@ def cut(docs: DataFrame, marks: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for b in byte_slices(batches, 1):
             rows = []
-            for text, starts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                words = text.split()
+            offsets, los, ns = _spans(b.column(2), 0, 1)
+            for k, text in enumerate(b.column(1).to_pylist()):
+                words, i, j = text.split(), offsets[k], offsets[k + 1]
                 n = len(words)
-                if starts:
-                    gone = covered(n, np.unique(starts), size)
-                    words = [w for w, g in zip(words, gone.tolist()) if not g]
+                if j > i:
+                    edge = np.zeros(n + 1, np.int64)
+                    np.add.at(edge, los[i:j], 1)
+                    np.add.at(edge, los[i:j] + ns[i:j] - 1 + size, -1)
+                    words = [w for w, c in zip(words, np.cumsum(edge).tolist()) if not c]
                 kept = b" ".join(words)
-                rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]).cast(schema)
+                rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string())))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
-    starts = marks.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("at").alias("starts"))  # within one document
-    joined = docs.select("doc_id", "text").join(starts, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "starts")
+    runs = marks.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("lo", "n")).alias("runs"))  # within one document
+    joined = docs.select("doc_id", "text").join(runs, F.col("doc_id") == F.col("__id"), "left")
+    joined = joined.select("doc_id", "text", F.coalesce("runs", F.array().cast("array<struct<lo:int,n:int>>")).alias("runs"))
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
@@ -156,15 +203,10 @@ def dedup(spark: SparkSession, docs: DataFrame, size: int = SIZE, gram: int = GR
             scratch.drop(f"prints{k}")
             hits = found if hits is None else hits.union(found)
     if hits is None:
-        marks = spark.createDataFrame([], "doc_id long, at int")
+        marks = spark.createDataFrame([], "doc_id long, lo int, n int")
     else:
-        windows = scratch.put(candidate_windows(docs, hits, size, gram), "candidates")
         scratch.drop(*index.runs)
-        firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
-        firsts = scratch.put(firsts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first"), "firsts")
-        marks = windows.join(firsts, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where("doc_id > first")
-        marks = scratch.put(marks.select("doc_id", "at"), "marks")
-        scratch.drop("candidates", "firsts")
+        marks = verified(docs, hits, scratch, size, gram)
     return cut(docs, marks, size)
 
 
