@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from .common import Scratch, table
 
 END = 2
 #: Words kept by a worker between batches and tasks; about 200 bytes each.
-MEMO = 800_000
+MEMO = 1_200_000
 #: A cut before a space or line feed that follows another character falls between two tokens of a byte-level
 #: tokenizer, unless that character is white space as well.
 _PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -29,6 +30,13 @@ _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     
 _state: dict = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter of each byte in byte-level vocabularies: itself where it prints, else from U+0100 on."""
+    same = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in same else chr(next(rest)) for b in range(256)}
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -42,16 +50,17 @@ def _encoder(path: str):
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _state.update(path=path, tokenizer=tokenizer, memo={})
-    return _state["tokenizer"], _state["memo"]
+        byte_level = type(tokenizer.model).__name__ == "BPE" and tokenizer.normalizer is None and repr(tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False")
+        _state.update(path=path, tokenizer=tokenizer, memo={}, letters=_byte_letters() if byte_level else None)
+    return _state["tokenizer"], _state["memo"], _state["letters"]
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, as the tokenizer gives them for the whole text."""
-    tokenizer, memo = _encoder(path)
+    tokenizer, memo, letters = _encoder(path)
     if len(memo) > MEMO:
         memo.clear()
-    pack = lambda e: np.asarray(e.ids, "<u4").tobytes()
+    pack = lambda ids: np.asarray(ids, "<u4").tobytes()
     pieces = [None if _OTHER_SPACE.search(t) else _PIECE.findall(t) for t in texts]
     fresh = {w for p in pieces if p for w in p}
     fresh = [w for w in fresh if w not in memo]
@@ -63,9 +72,18 @@ def encode(texts: list[str], path: str) -> list[bytes]:
             stems[w] = (stem, w[len(stem) :])
     need = {x for w in fresh for x in stems.get(w, (w,))}
     need = [x for x in need if x not in memo]
-    memo.update(zip(need, map(pack, tokenizer.encode_batch(need, add_special_tokens=False))))
+    if letters:
+        # letters after at most one space are one unit of a byte-level tokenizer: its model takes them directly
+        model, rest = tokenizer.model, []
+        for w in need:
+            if max(w) < "\u0250" and (w[1:] if w[0] == " " else w).isalpha():
+                memo[w] = array("I", [t.id for t in model.tokenize(w.encode().decode("latin1").translate(letters))]).tobytes()
+            else:
+                rest.append(w)
+        need = rest
+    memo.update((w, pack(e.ids)) for w, e in zip(need, tokenizer.encode_batch(need, add_special_tokens=False)))
     memo.update((w, memo[a] + memo[b]) for w, (a, b) in stems.items())
-    return [pack(tokenizer.encode(t, add_special_tokens=False)) if p is None else b"".join(map(memo.__getitem__, p)) for t, p in zip(texts, pieces)]
+    return [pack(tokenizer.encode(t, add_special_tokens=False).ids) if p is None else b"".join(map(memo.__getitem__, p)) for t, p in zip(texts, pieces)]
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

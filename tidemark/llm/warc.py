@@ -107,7 +107,7 @@ def members(f, size: int) -> dict[str, tuple[int, int]]:
 
 
 def write_archives(pages: DataFrame, root: str) -> DataFrame:
-    """Write pages(page_id, url, payload, refers_to, is_revisit) as one archive a range of page_id; (path, records)."""
+    """Write pages(page_id, url, payload, refers_to, is_revisit) as one archive a partition; (path, records)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         fs, base = pyarrow.fs.FileSystem.from_uri(root)
@@ -123,14 +123,14 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
                     for page_id, url, html, refers_to, is_revisit in zip(*(c.to_pylist() for c in b.columns)):
                         raw = gzip.compress(record(page_id, url, html.encode(), refers_to, is_revisit), 5, mtime=0)
                         data.write(raw)
-                        index.append(json.dumps([at, len(raw)]))
+                        index.append(json.dumps([page_id, at, len(raw)]))
                         at += len(raw)
             z.writestr(INDEX, "\n".join(index))
         fs.move(partial, name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)], pa.int64())], names=["path", "records"])
 
-    ordered = pages.select("page_id", "url", "payload", "refers_to", "is_revisit").repartitionByRange("page_id").sortWithinPartitions("page_id")
-    return ordered.mapInArrow(run, "path string, records long")
+    # the rows come as the join by page_id has dealt them: payloads are not moved once more
+    return pages.select("page_id", "url", "payload", "refers_to", "is_revisit").mapInArrow(run, "path string, records long")
 
 
 def read_archives(archives: DataFrame, root: str) -> DataFrame:
@@ -147,12 +147,13 @@ def read_archives(archives: DataFrame, root: str) -> DataFrame:
                 entries = [json.loads(x) for x in f.read(found[INDEX][1]).decode().split("\n") if x]
                 for k in range(0, len(entries), 500):
                     rows = []
-                    for at, n in entries[k : k + 500]:
+                    for _, at, n in entries[k : k + 500]:
                         f.seek(found[DATA][0] + at)
                         rows.append(parse(zlib.decompress(f.read(n), wbits=31)))
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(names, kinds)], names=names)
 
-    return archives.select("path").repartition("path").mapInArrow(run, RECORD)
+    # the number of archives is that of the partitions that wrote them; one task reads about one
+    return archives.select("path").repartition(max(1, archives.count()), "path").mapInArrow(run, RECORD)
 
 
 def decide(spark: SparkSession, pages: DataFrame, scratch: Scratch, min_bytes: int = 0) -> DataFrame:
