@@ -1,0 +1,98 @@
+"""The few places where Spark SQL and DuckDB SQL spell one thing differently."""
+
+from __future__ import annotations
+
+
+class Spark:
+    def __init__(self, sf_dir: str):
+        self.dir = sf_dir
+
+    def t(self, name: str) -> str:
+        return f"parquet.`{self.dir}/{name}.parquet`"
+
+    def micros(self, ts: str) -> str:  # of a time without zone, whatever the session's zone
+        return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})"
+
+    def div(self, a: str, b: str) -> str:
+        return f"(({a}) DIV ({b}))"
+
+    def stamp(self, ts: str) -> str:
+        return f"date_format({ts}, 'E MMM dd HH:mm:ss yyyy')"
+
+    def sorted_list(self, x: str) -> str:
+        return f"sort_array(collect_list({x}))"
+
+    def at(self, array: str, k: str) -> str:
+        return f"try_element_at({array}, CAST({k} AS INT))"
+
+    def joined(self, x: str, order: str) -> str:
+        return f"array_join(transform(array_sort(collect_list(struct(struct({order}) AS o, CAST({x} AS STRING) AS v))), e -> e.v), ',')"
+
+    def bits(self, v: str) -> str:  # the 64 bits of a double as a bit string
+        return f"lpad(bin(CAST(java_method('java.lang.Double','doubleToRawLongBits',{v}) AS BIGINT)), 64, '0')"
+
+    def bin_xor(self, a: str, b: str) -> str:
+        raw = lambda v: f"CAST(java_method('java.lang.Double','doubleToRawLongBits',{v}) AS BIGINT)"
+        return f"lpad(bin({raw(a)} ^ {raw(b)}), 64, '0')"
+
+    def explode_words(self, text: str, sep: str) -> str:
+        return f"posexplode(split({text}, '{sep}'))"
+
+    def extract(self, s: str, pattern: str, g: int = 0) -> str:
+        return f"regexp_extract({s}, r'{pattern}', {g})"
+
+    def replace(self, s: str, pattern: str, to: str) -> str:
+        return f"regexp_replace({s}, r'{pattern}', '{to}')"
+
+    def matches(self, s: str, pattern: str) -> str:
+        return f"({s} RLIKE r'{pattern}')"
+
+    def parse(self, s: str) -> str:
+        return f"to_timestamp_ntz({s}, 'MMM dd HH:mm:ss yyyy')"
+
+    def octets(self, s: str) -> str:
+        return f"octet_length({s})"
+
+
+class Duck(Spark):
+    def __init__(self):
+        super().__init__("")
+
+    def t(self, name: str) -> str:
+        return name
+
+    def micros(self, ts: str) -> str:
+        return f"epoch_us({ts})"
+
+    def div(self, a: str, b: str) -> str:
+        return f"(({a}) // ({b}))"
+
+    def stamp(self, ts: str) -> str:
+        return f"strftime({ts}, '%a %b %d %H:%M:%S %Y')"
+
+    def sorted_list(self, x: str) -> str:
+        return f"list_sort(list({x}))"
+
+    def at(self, array: str, k: str) -> str:
+        return f"({array})[CAST({k} AS INT)]"
+
+    def joined(self, x: str, order: str) -> str:
+        return f"string_agg(CAST({x} AS VARCHAR), ',' ORDER BY {order})"
+
+    def bin_xor(self, a: str, b: str) -> str:
+        return f"lpad(bin(xor(CAST(CAST({a} AS BIT) AS BIGINT), CAST(CAST({b} AS BIT) AS BIGINT))), 64, '0')"
+
+    def extract(self, s: str, pattern: str, g: int = 0) -> str:
+        return f"regexp_extract({s}, '{pattern}', {g})"
+
+    def replace(self, s: str, pattern: str, to: str) -> str:
+        return f"regexp_replace({s}, '{pattern}', '{to}', 'g')"
+
+    def matches(self, s: str, pattern: str) -> str:
+        return f"regexp_matches({s}, '{pattern}')"
+
+    def parse(self, s: str) -> str:
+        return f"strptime({s}, '%b %d %H:%M:%S %Y')"
+
+    def octets(self, s: str) -> str:
+        return f"octet_length(encode({s}))"

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLE: dict[str, str] = {}
+from ..functions.dialect import Duck, Spark
+from ..operators import codecs, logs, metrics, templates, traces
+
+_SQL = metrics.QUERIES | traces.QUERIES | logs.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    plain = {name: (lambda spark, sf_dir, f=f: spark.sql(f(Spark(sf_dir)))) for name, f in _SQL.items()}
+    return plain | templates.QUERIES | codecs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    return {name: f(Duck()) for name, f in _SQL.items()} | templates.ORACLE | codecs.ORACLE
