@@ -102,7 +102,8 @@ def variable_columns(spark, sf_dir):
 
 def variable_counts(spark, sf_dir):
     e = extract(_lines(spark, sf_dir))
-    return e.select("line_no", *(F.size(F.filter("kinds", lambda k, t=t: k == t)).cast("long").alias(f"n_{t.lower()}") for t in TYPES))
+    of = lambda t: F.size(F.filter("kinds", lambda k: k == F.lit(t))).cast("long").alias(f"n_{t.lower()}")
+    return e.select("line_no", *map(of, TYPES))
 
 
 def template_roundtrip(spark, sf_dir):
