@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 END = 2
-#: Words kept by a worker between batches and tasks; about 200 bytes each.
-MEMO = 1_200_000
+#: Words kept by a worker between batches and tasks, in two generations; about 200 bytes each.
+MEMO = 900_000
 #: A cut before a space or line feed that follows another character falls between two tokens of a byte-level
 #: tokenizer, unless that character is white space as well.
 _PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -43,47 +43,54 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _encoder(path: str):
+class _Memo(dict):
+    """Ids of words met lately, as little-endian unsigned 32-bit integers. A word not met for a generation goes."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.old = tokenizer, {}
+        byte_level = type(tokenizer.model).__name__ == "BPE" and tokenizer.normalizer is None and repr(tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False")
+        self.model, self.letters = tokenizer.model if byte_level else None, _byte_letters()
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        stem = word.rstrip(".,;:!?")
+        if stem != word and stem and stem[-1].isascii() and stem[-1].isalnum():
+            # closing punctuation after an ASCII letter or digit is a token run of its own
+            return self[stem] + self[word[len(stem) :]]
+        ids = self.old.get(word)
+        if ids is None:
+            if self.model and max(word) < "\u0250" and (word[1:] if word[0] == " " else word).isalpha():
+                # letters after at most one space are one unit of a byte-level tokenizer: its model takes them directly
+                mapped = word if word.isascii() and word[0] != " " else word.encode().decode("latin1").translate(self.letters)
+                ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            else:
+                ids = self.whole(word)
+        self[word] = ids
+        if len(self) > MEMO // 2:
+            self.old = dict(self)
+            self.clear()
+        return ids
+
+
+def _memo(path: str) -> _Memo:
     if _state.get("path") != path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        byte_level = type(tokenizer.model).__name__ == "BPE" and tokenizer.normalizer is None and repr(tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False")
-        _state.update(path=path, tokenizer=tokenizer, memo={}, letters=_byte_letters() if byte_level else None)
-    return _state["tokenizer"], _state["memo"], _state["letters"]
+        _state.update(path=path, memo=_Memo(tokenizer))
+    return _state["memo"]
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, as the tokenizer gives them for the whole text."""
-    tokenizer, memo, letters = _encoder(path)
-    if len(memo) > MEMO:
-        memo.clear()
-    pack = lambda ids: np.asarray(ids, "<u4").tobytes()
-    pieces = [None if _OTHER_SPACE.search(t) else _PIECE.findall(t) for t in texts]
-    fresh = {w for p in pieces if p for w in p}
-    fresh = [w for w in fresh if w not in memo]
-    # closing punctuation after an ASCII letter or digit is a token run of its own
-    stems = {}
-    for w in fresh:
-        stem = w.rstrip(".,;:!?")
-        if stem != w and stem and stem[-1].isascii() and stem[-1].isalnum():
-            stems[w] = (stem, w[len(stem) :])
-    need = {x for w in fresh for x in stems.get(w, (w,))}
-    need = [x for x in need if x not in memo]
-    if letters:
-        # letters after at most one space are one unit of a byte-level tokenizer: its model takes them directly
-        model, rest = tokenizer.model, []
-        for w in need:
-            if max(w) < "\u0250" and (w[1:] if w[0] == " " else w).isalpha():
-                memo[w] = array("I", [t.id for t in model.tokenize(w.encode().decode("latin1").translate(letters))]).tobytes()
-            else:
-                rest.append(w)
-        need = rest
-    memo.update((w, pack(e.ids)) for w, e in zip(need, tokenizer.encode_batch(need, add_special_tokens=False)))
-    memo.update((w, memo[a] + memo[b]) for w, (a, b) in stems.items())
-    return [pack(tokenizer.encode(t, add_special_tokens=False).ids) if p is None else b"".join(map(memo.__getitem__, p)) for t, p in zip(texts, pieces)]
+    memo = _memo(path)
+    ids = memo.__getitem__
+    return [memo.whole(t) if _OTHER_SPACE.search(t) else b"".join(map(ids, _PIECE.findall(t))) for t in texts]
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
