@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -99,57 +103,93 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, encoding: str = "dictionary", row_group_mb: int = 16, page_kb: int = 64, end_id: int = END) -> None:
-    """Write (part, doc_id, start, n_tokens, ids) in ascending doc_id order, one file a range of ids.
+def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, encoding: str = "dictionary", row_group_ids: int = 2 << 20, page_kb: int = 64, end_id: int = END) -> DataFrame:
+    """Write (doc_id, start, n_tokens, ids) in ascending doc_id order, one Parquet file a range of ids.
 
-    start counts the ids before the document within its file. Row groups and pages are small enough to read
-    single documents; min-max page indexes on doc_id and start find them. encoding: 'dictionary' or 'delta'.
+    Returns (part, path, documents, total), a row a file; start counts the ids before the document in its file.
+    A row group ends once it has row_group_ids ids, pages hold page_kb, and page indexes on doc_id and start find
+    single documents without reading ids. encoding: 'dictionary' or 'delta'. Files are written under a name of the
+    attempt and renamed when whole, through pyarrow's file systems.
     """
     path, end = tokenizer or default_tokenizer(), np.array([end_id], "<u4").tobytes()
+    columns = ["doc_id", "start", "n_tokens", "ids.list.element"]
+    layout = {"use_dictionary": columns[3:], "column_encoding": dict.fromkeys(columns[:3], "DELTA_BINARY_PACKED")} if encoding == "dictionary" else {"use_dictionary": False, "column_encoding": dict.fromkeys(columns, "DELTA_BINARY_PACKED")}
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches):
-        part, at = TaskContext.get().partitionId(), 0
+        fs, base = pyarrow.fs.FileSystem.from_uri(out)
+        part = TaskContext.get().partitionId()
+        name, at, documents, held, held_ids, writer = f"{base}/part-{part:06d}.parquet", 0, 0, [], 0, None
+        partial = f"{name}.{uuid.uuid4().hex}"
         for b in slices(batches):
+            if writer is None:
+                fs.create_dir(base, recursive=True)
+                sink = fs.open_output_stream(partial)
+                writer = pq.ParquetWriter(sink, schema, compression="zstd", write_page_index=True, data_page_size=page_kb << 10, **layout)
             ids = [x + end for x in encode([t or "" for t in b.column(1).to_pylist()], path)]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             stops = np.cumsum(n)
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), b.column(0), pa.array(at + stops - n), pa.array(n), lists], names=["part", "doc_id", "start", "n_tokens", "ids"])
-            at += int(stops[-1])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, stops).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            held.append(pa.RecordBatch.from_arrays([b.column(0), pa.array(at + stops - n), pa.array(n), lists], schema=schema))
+            at, documents, held_ids = at + int(stops[-1]), documents + len(n), held_ids + int(stops[-1])
+            if held_ids >= row_group_ids:
+                writer.write_table(pa.Table.from_batches(held))
+                held, held_ids = [], 0
+        if writer is not None:
+            if held:
+                writer.write_table(pa.Table.from_batches(held))
+            writer.close()
+            sink.close()
+            fs.move(partial, name)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([documents], pa.int64()), pa.array([at], pa.int64())], names=["part", "path", "documents", "total"])
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows = ordered.mapInArrow(run, "part int, doc_id long, start long, n_tokens long, ids array<int>")
-    rows.write.mode("overwrite").options(**{
-        "compression": "zstd", "parquet.block.size": row_group_mb << 20, "parquet.page.size": page_kb << 10,
-        "parquet.page.row.count.limit": 1000, "parquet.writer.version": "PARQUET_2_0",
-        "parquet.enable.dictionary": str(encoding == "dictionary").lower(), "parquet.dictionary.page.size": 1 << 20,
-    }).parquet(out)
+    return ordered.mapInArrow(run, "part int, path string, documents long, total long")
 
 
-def read_token_files(spark: SparkSession, out: str) -> DataFrame:
-    """The files' rows with start counted over all documents: only small columns are read for that, never ids."""
-    files = spark.read.schema("part int, doc_id long, start long, n_tokens long, ids array<int>").parquet(out)
-    totals = files.groupBy("part").agg(F.max(F.col("start") + F.col("n_tokens")).alias("total"))  # one row a file
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(F.col("part").alias("__part"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("__base"))
-    return files.join(bases, F.col("part") == F.col("__part")).withColumn("start", F.col("start") + F.col("__base")).select("doc_id", "start", "n_tokens", "ids")
+def _scan(files: DataFrame, out: str, each, schema: str) -> DataFrame:
+    """each(row group table, ids before its file) -> record batch, over all files; a task reads about one file."""
 
+    def run(batches):
+        fs, _ = pyarrow.fs.FileSystem.from_uri(out)
+        for b in batches:
+            for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with fs.open_input_file(path) as f:
+                    reader = pq.ParquetFile(f)
+                    for k in range(reader.num_row_groups):
+                        yield each(reader.read_row_group(k, use_threads=False).combine_chunks(), base)
 
-def digests(rows: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from read rows; n_tokens is counted from the ids."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    based = files.select("path", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    return based.repartition(max(1, files.count()), "path").mapInArrow(run, schema)
 
-    def run(batches):
-        for b in slices(batches, 2048):
-            ids = b.column(2)
-            offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4", copy=False)
-            crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "start", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def read_token_files(files: DataFrame, out: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of files(part, path, total), start counted over all files."""
+
+    def each(t, base):
+        return t.set_column(1, "start", pc.add(t["start"], base)).to_batches()[0]
+
+    return _scan(files, out, each, "doc_id long, start long, n_tokens long, ids array<int>")
+
+
+def digests(files: DataFrame, out: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of the files; n_tokens is counted from the ids read."""
+
+    def each(t, base):
+        ids = t["ids"].combine_chunks() if isinstance(t["ids"], pa.ChunkedArray) else t["ids"]
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4", copy=False)
+        crc = [zlib.crc32(flat[i:j]) for i, j in zip(offsets.tolist(), offsets[1:].tolist())]
+        doc, start = (t[c].combine_chunks() for c in ("doc_id", "start"))
+        doc, start = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (doc, start))
+        return pa.RecordBatch.from_arrays([doc, pc.add(start, base), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return _scan(files, out, each, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = Scratch(spark, "tokens").path("files")
-    write_token_files(table(spark, sf_dir, "documents"), out)
-    return digests(read_token_files(spark, out))
+    scratch = Scratch(spark, "tokens")
+    out = scratch.path("files")
+    files = scratch.put(write_token_files(table(spark, sf_dir, "documents"), out), "list")
+    return digests(files, out)
