@@ -24,7 +24,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_windows(codes: np.ndarray, size: int, base: np.uint64 = B1) -> np.ndarray:
     """Hash of each run of `size` codes."""
     n = len(codes) - size + 1
-    key = np.full(max(n, 0), U(size))
+    if n <= 0:
+        return np.zeros(0, U)
+    key = np.full(n, U(size))
     for j in range(size):
         key = key * base + codes[j : n + j]
     return mix(key)

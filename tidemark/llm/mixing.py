@@ -4,7 +4,8 @@ Sources in code-point order (null last) weigh 5, 2, 1, repeating, and share 150
 exceeds twice its source's size, the excess goes to the others by weight. Each document first gets the whole
 copies its source's rate allows; for the rest of the target documents are ranked by random odds over
 inclusion odds and the ranking is cut where the words run out. Documents further down that still fit the gap
-then fill it, in rank order, in further passes.
+then fill it, in rank order, in further passes. Documents are taken whole, so a source's words miss its target by
+less than its longest document, and by little where it has many.
 
 Defined cases: null text has size 0 and is taken 0 words; a source without words has target 0; equal ids draw
 equal numbers and are ordered by size; an empty table gives an empty result; other columns are ignored.
