@@ -16,4 +16,19 @@ QUERIES = {
     "op9_zip_warc": warc.op9_zip_warc,
     "op10_quality_rules": quality.op10_quality_rules,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+      links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+      reach AS (SELECT vec_id AS n, vec_id AS r FROM v UNION SELECT reach.n, links.b FROM reach JOIN links ON reach.r = links.a),
+      counts AS (SELECT a, count(*) AS k FROM links GROUP BY 1)
+      SELECT vec_id, CAST(coalesce(max(k), 0) AS BIGINT) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept FROM v JOIN reach ON n = vec_id LEFT JOIN counts ON a = vec_id GROUP BY vec_id""",
+    "op1_window_dedup": """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+      k AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+      s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS t FROM k),
+      f AS (SELECT t, min(doc_id) AS first FROM s GROUP BY 1),
+      g AS (SELECT DISTINCT s.doc_id, unnest(range(i, i + 13)) AS p FROM s JOIN f ON s.t = f.t WHERE s.doc_id > first),
+      gl AS (SELECT doc_id, list(p) AS ps FROM g GROUP BY 1),
+      a AS (SELECT d.doc_id, w, coalesce(ps, []) AS ps FROM d LEFT JOIN gl ON d.doc_id = gl.doc_id)
+      SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_removed,
+        sha256(coalesce(array_to_string(CASE WHEN len(ps) = 0 THEN w ELSE [x FOR x, i IN w IF NOT list_contains(ps, i)] END, ' '), '')) AS kept_sha256 FROM a""",
+}
