@@ -22,6 +22,14 @@ ORACLE: dict[str, str] = {
       reach AS (SELECT vec_id AS n, vec_id AS r FROM v UNION SELECT reach.n, links.b FROM reach JOIN links ON reach.r = links.a),
       counts AS (SELECT a, count(*) AS k FROM links GROUP BY 1)
       SELECT vec_id, CAST(coalesce(max(k), 0) AS BIGINT) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept FROM v JOIN reach ON n = vec_id LEFT JOIN counts ON a = vec_id GROUP BY vec_id""",
+    "op5_ngram_jaccard": """WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+      k AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+      s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS t FROM k),
+      n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+      pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.t = y.t AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+      links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+      reach AS (SELECT doc_id AS m, doc_id AS r FROM d UNION SELECT reach.m, links.b FROM reach JOIN links ON reach.r = links.a)
+      SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id FROM d JOIN reach ON m = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1""",
     "op1_window_dedup": """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
       k AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
       s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS t FROM k),
