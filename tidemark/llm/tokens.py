@@ -12,6 +12,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -48,54 +49,87 @@ def default_tokenizer() -> str:
 
 
 class _Memo(dict):
-    """Ids of words met lately, as little-endian unsigned 32-bit integers. A word not met for a generation goes."""
+    """Ids of words met lately that follow `lead` (a space or nothing), as little-endian unsigned 32-bit integers.
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.old = tokenizer, {}
-        byte_level = type(tokenizer.model).__name__ == "BPE" and tokenizer.normalizer is None and repr(tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False")
-        self.model, self.letters = tokenizer.model if byte_level else None, _byte_letters()
+    A word not met for a generation goes.
+    """
 
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def __init__(self, words: "_Words", lead: str, limit: int):
+        super().__init__()
+        self.words, self.lead, self.limit, self.old = words, lead, limit, {}
+        self.model, self.mark = words.tokenizer.model, words.letters[ord(" ")] if lead else ""
 
     def __missing__(self, word: str) -> bytes:
-        stem = word.rstrip(".,;:!?")
-        if stem != word and stem and stem[-1].isascii() and stem[-1].isalnum():
-            # closing punctuation after an ASCII letter or digit is a token run of its own
-            return self[stem] + self[word[len(stem) :]]
+        if "\n" in word:
+            line, _, next_line = word.partition("\n")
+            if line and next_line and "\n" not in next_line:
+                return self[line] + self.words.line_feed + self.words.bare[next_line]
+            return b"".join(map(self.words.piece, _PIECE.findall(self.lead + word)))
         ids = self.old.get(word)
         if ids is None:
-            if self.model and max(word) < "\u0250" and (word[1:] if word[0] == " " else word).isalpha():
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
                 # letters after at most one space are one unit of a byte-level tokenizer: its model takes them directly
-                mapped = word if word.isascii() and word[0] != " " else word.encode().decode("latin1").translate(self.letters)
+                mapped = self.mark + (word if word.isascii() else word.encode().decode("latin1").translate(self.words.letters))
                 ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
             else:
-                ids = self.whole(word)
+                stem = word.rstrip(punctuation)
+                if stem != word and stem and stem[-1].isalnum() and stem[-1] < "\u0250":
+                    # closing punctuation after a letter or digit is a unit of its own
+                    return self[stem] + self.words.bare[word[len(stem) :]]
+                ids = self.words.whole(self.lead + word)
         self[word] = ids
-        if len(self) > MEMO // 2:
+        if len(self) > self.limit // 2:
             self.old = {}  # the last generation is free before the next is copied
             self.old = dict(self)
             self.clear()
         return ids
 
 
-def _memo(path: str) -> _Memo:
+class _Words:
+    """Whole texts to ids. A byte-level tokenizer without a normalizer is given single words, any other the whole text."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.letters = tokenizer, _byte_letters()
+        before = repr(tokenizer.pre_tokenizer)
+        self.by_word = type(tokenizer.model).__name__ == "BPE" and tokenizer.normalizer is None and before.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in before
+        self.spaced, self.bare = _Memo(self, " ", MEMO * 7 // 8), _Memo(self, "", MEMO // 8)
+        self.line_feed = self.whole("\n")
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """Spaces and line feeds, then a word or the text's end: the last space goes with the word, a last line feed stands alone."""
+        word = piece.lstrip(" \n")
+        gap = piece[: len(piece) - len(word)]
+        if not gap or not word:
+            return self.bare[word] if word else self.whole(gap)
+        last = self.spaced[word] if gap[-1] == " " else self.line_feed + self.bare[word]
+        return self.whole(gap[:-1]) + last if len(gap) > 1 else last
+
+    def encode(self, text: str) -> bytes:
+        if not self.by_word or any(c in text for c in _OTHER_SPACE):
+            return self.whole(text)
+        if "  " in text or "\n " in text or text.endswith(" "):
+            return b"".join(map(self.piece, _PIECE.findall(text)))
+        first, *rest = text.split(" ")
+        return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
+
+
+def _words(path: str) -> _Words:
     if _state.get("path") != path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _state.update(path=path, memo=_Memo(tokenizer))
-    return _state["memo"]
+        _state.update(path=path, words=_Words(tokenizer))
+    return _state["words"]
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, as the tokenizer gives them for the whole text."""
-    memo = _memo(path)
-    ids = memo.__getitem__
-    return [memo.whole(t) if any(c in t for c in _OTHER_SPACE) else b"".join(map(ids, _PIECE.findall(t))) for t in texts]
+    return list(map(_words(path).encode, texts))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
