@@ -229,6 +229,8 @@ def encoded(texts):
 def test_memo_equals_the_tokenizer():
     rng = random.Random(1)
     odd = ["".join(rng.choice(" \n\tab'sté.,!12_-<|>end ßλ中😀’\x85　") for _ in range(rng.randrange(40))) for _ in range(3000)] + ["<|endoftext|> a", "don't we'll I'd", "a \nb  c\n\n d"]
+    parts = ["a", "Foo", "été", "日本", " ", " ", "  ", "\n", "\n\n", "'s", "'", "12.", "x,", "é!'", "²", "½x", "$$$", "\u0301", "ɐx", ".'s"]
+    odd += ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(5000)]
     want = encoded(enumerate(odd))
     assert [[*np.frombuffer(x, "<u4"), 2] for x in tokens.encode(odd, tokens.default_tokenizer())] == [want[k] for k in range(len(odd))]
 
