@@ -12,8 +12,8 @@ threshold. Ranks are 64-bit names of the prefix, which serve equality as well as
    which is the rank at full size, past the threshold. Pairs that occur twice mark their windows.
 
 Defined cases: a null or empty text has 0 bytes; a text shorter than the threshold stays whole; equal strings
-that overlap in one text count; repeated rows are texts of their own, and lose what they share; rows with a
-null doc_id stay whole and count for nothing; other columns are ignored; an empty table gives an empty result.
+that overlap in one text count; repeated rows are texts of their own, and lose what they share; rows of one
+id with different texts lose the places that any of them loses; rows with a null doc_id stay whole and count for nothing; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -73,7 +73,8 @@ def position_ranks(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
                 i, j = offsets[k], offsets[k + 1]
                 n = ns[i:j]
                 at = spread(los[i:j], n)
-                at, single = at[at + size <= len(text)], np.repeat(alone[i:j], n)[: len(at)]
+                inside = at + size <= len(text)
+                at, single = at[inside], np.repeat(alone[i:j], n)[inside]
                 first, second = ByteHash(text, 0), ByteHash(text, 1)
                 out.append((first.of(at, at + half), second.of(at + half, at + size), np.full(len(at), b.column(0)[k].as_py()), at, single))
             r1, r2, doc, at, single = (np.concatenate(x) for x in zip(*out))
@@ -116,8 +117,8 @@ def cut(docs: DataFrame, runs: DataFrame, size: int) -> DataFrame:
                 kept = text
                 if j > i:
                     edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, los[i:j], 1)
-                    np.add.at(edge, los[i:j] + ns[i:j] - 1 + size, -1)
+                    np.add.at(edge, np.minimum(los[i:j], n), 1)
+                    np.add.at(edge, np.minimum(los[i:j] + ns[i:j] - 1 + size, n), -1)
                     gone = np.cumsum(edge)[:n] > 0
                     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()

@@ -10,7 +10,7 @@ several kinds of region, the windows of the first document of each kind are comp
 
 Defined cases: null or empty text has no words and no windows; a text shorter than a window keeps all words;
 windows of one document count against later documents only, never against itself; repeated rows of an id are
-treated alike and count as one document; a null doc_id is in no batch, its row is kept whole; other columns
+treated alike and count as one document (with different texts they share the places that are marked); a null doc_id is in no batch, its row is kept whole; other columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -176,8 +176,8 @@ def cut(docs: DataFrame, marks: DataFrame, size: int) -> DataFrame:
                 n = len(words)
                 if j > i:
                     edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, los[i:j], 1)
-                    np.add.at(edge, los[i:j] + ns[i:j] - 1 + size, -1)
+                    np.add.at(edge, np.minimum(los[i:j], n), 1)
+                    np.add.at(edge, np.minimum(los[i:j] + ns[i:j] - 1 + size, n), -1)
                     words = [w for w, c in zip(words, np.cumsum(edge).tolist()) if not c]
                 kept = b" ".join(words)
                 rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
