@@ -21,7 +21,8 @@ from .common import Scratch, table, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE, MAX_COPIES = 1.5, 2
-SLICES, FILL_PASSES, SEED = 256, 3, 20240229
+#: At least so many slices, and one for each ROWS rows, so that a window of a hot source stays small at any size.
+SLICES, ROWS, FILL_PASSES, SEED = 256, 100_000, 3, 20240229
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = MAX_COPIES) -> DataFrame:
@@ -62,6 +63,7 @@ def plan(spark: SparkSession, docs: DataFrame, seed: int = SEED, slices: int = S
     """(doc_id, size, source, source_size, target, copies): whole copies of each row of docs(doc_id, text, source)."""
     scratch = Scratch(spark, "mix")
     sized = scratch.put(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
+    slices = max(slices, sized.count() // ROWS)  # the cut doesn't depend on the number of slices
     goal = scratch.put(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     goal = goal.select(F.col("source").alias("__source"), "source_size", "target")
     # one row a source; as many sources as fit a broadcast are sent by Spark's own size check, others are joined
