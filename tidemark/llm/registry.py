@@ -16,7 +16,33 @@ QUERIES = {
     "op9_zip_warc": warc.op9_zip_warc,
     "op10_quality_rules": quality.op10_quality_rules,
 }
+
+
+def _secrets_sql() -> str:
+    """Matches from extraction, places from the gaps between them; letters of both cases spelled out."""
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    names = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
+    rules = (("assign", rf"""(?:{names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8), ("access", "(AKIA[A-Z0-9]+)", 16), ("hex", "([0-9a-f]+)", 32))
+    found = []
+    for k, (kind, pattern, least) in enumerate(rules):
+        p = pattern.replace("'", "''")
+        found.append(f"SELECT doc_id, '{kind}' AS kind, {k} AS ord, {least} AS least, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', 1) AS vs FROM d")
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(found)}),
+      u AS (SELECT doc_id, kind, ord, least, unnest(gaps[1:len(ms)]) AS gap, unnest(ms) AS m, unnest(vs) AS v, unnest(range(1, len(ms) + 1)) AS i FROM f WHERE len(ms) > 0),
+      e AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM u),
+      s AS (SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
+        string_agg(concat(kind, ':', stop - length(m), ':', stop), ',' ORDER BY stop - length(m), ord) AS spans FROM e WHERE length(v) >= least GROUP BY 1)
+      SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+      FROM d LEFT JOIN s ON d.doc_id = s.doc_id"""
+
+
 ORACLE: dict[str, str] = {
+    "op2_secret_ledger": _secrets_sql(),
+    "op9_zip_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), f AS (SELECT t, min(page_id) AS first FROM p GROUP BY 1),
+      h AS (SELECT page_id, octet_length(encode(p.t)) AS n, sha1(p.t) AS h, first FROM p JOIN f ON p.t = f.t)
+      SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+        array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, 5 * (k // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31) AS BIGINT), 1) FOR k IN range(32)], '') AS payload_digest,
+        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM h""",
     "op6_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
       links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
       reach AS (SELECT vec_id AS n, vec_id AS r FROM v UNION SELECT reach.n, links.b FROM reach JOIN links ON reach.r = links.a),
