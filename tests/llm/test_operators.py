@@ -368,3 +368,25 @@ def test_binomial_bound():
     assert quality.upper_bound(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100), rel=1e-6)
     assert quality.upper_bound(5, 5, 0.05) == 1.0
     assert quality.upper_bound(3, 50, 0.05) == pytest.approx(0.1478, abs=2e-3)
+
+
+def test_quality_rules_work_on_few_labels(spark):
+    """500 good labels a language prove the whole risk, not a fifth of it; 200 prove nothing."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = [(1000 * s + k, " ".join(word(5) for _ in range(30)), lang, 1) for s, (lang, n) in enumerate((("en", 500), (None, 500), ("fr", 200))) for k in range(n)]
+    rows += [(10_000 + k, " ".join("#" + word(9) for _ in range(30)), ("en", None, "fr")[k % 3], 0) for k in range(30)]
+    # the cutoff below which a good document of every hundred falls is not proven
+    rows += [(20_000 + k, "\n".join([" ".join(word(5) for _ in range(30)), *["x y"] * 3]), "en", 1) for k in range(20)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int")
+    verdict = {r.doc_id: r.kept for r in quality.judge(spark, docs, labels).collect()}
+    assert all(verdict[i] for i, _, _, q in rows if q)
+    assert {(lang, verdict[i]) for i, _, lang, q in rows if not q} == {("en", False), (None, False), ("fr", True)}
+
+
+def test_setting_path():
+    path = quality.setting_path(collections.Counter({(2, 6, 5, 5, 5): 3, (7, 6, 1, 5, 5): 2}))
+    assert path[:5] == [(1, 0, 0, 0, 0), (2, 0, 0, 0, 0), (3, 0, 0, 0, 0), (3, 0, 1, 0, 0), (3, 0, 2, 0, 0)]
+    assert len(path) == 28 and path[-1] == (7, 6, 5, 5, 5)
+    assert quality.within(0, 437, 0.01, 0.0125) and not quality.within(0, 436, 0.01, 0.0125)

@@ -1,11 +1,13 @@
 """Quality rules with risk-controlled thresholds.
 
 Text statistics of every whole document, fixed base limits, and further rules whose cutoffs are chosen on
-labelled documents: for each stratum (language) and rule the cutoffs are tested from the loosest to the
-strictest, and the strictest one is taken whose exact (Clopper-Pearson) upper bound on the share of good
-documents it rejects stays within the risk. Testing in a fixed order needs no correction among the cutoffs of
-a rule; strata and rules are corrected for by dividing the error rate by their number, and the risk is divided
-among the rules of a stratum. A rule that no cutoff passes is off, so few labels mean few rejections.
+labelled documents. Joint settings of all rules form one nested path from none to the strictest cutoffs, ordered
+by what each cutoff adds on the documents labelled bad, which say nothing about the good ones it is tested on.
+In each stratum (language) the settings are tested along the path, each on the documents that any of its rules
+rejects, and the last one is taken before the exact (Clopper-Pearson) upper bound on the rejected share of good
+documents exceeds the risk. Testing in a fixed order needs no correction among settings; the error rate is divided
+among the strata that have enough good labels for any proof, a choice that depends on their number alone. A
+stratum where no setting passes has no rules beyond the base, so few labels mean few rejections.
 
 Defined cases: a null or empty text has 0 words and fails the base limits; a document that has no label, a
 null label or conflicting labels (the lower counts) is judged like any other; labels of unknown documents have
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -82,42 +85,67 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("lang",)) -> DataFrame:
     return docs.select(*cols, "text").mapInArrow(run, schema)
 
 
+def tail(k: int, n: int, p: float) -> float:
+    """The probability of k or fewer of n at the share p."""
+    lp, lq = math.log(p), math.log1p(-p)
+    terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * lp + (n - i) * lq for i in range(k + 1)]
+    top = max(terms)
+    return math.exp(top) * sum(math.exp(t - top) for t in terms)
+
+
 def upper_bound(k: int, n: int, error: float) -> float:
     """Clopper-Pearson: the share p at which k or fewer of n has probability `error`."""
     if k >= n:
         return 1.0
-
-    def tail(p: float) -> float:
-        lp, lq = math.log(p), math.log1p(-p)
-        terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * lp + (n - i) * lq for i in range(k + 1)]
-        top = max(terms)
-        return math.exp(top) * sum(math.exp(t - top) for t in terms)
-
     lo, hi = k / n, 1.0 - 1e-15
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if mid > 0 and tail(mid) > error else (lo, mid)
+        lo, hi = (mid, hi) if mid > 0 and tail(k, n, mid) > error else (lo, mid)
     return hi
 
 
+def within(k: int, n: int, risk: float, error: float) -> bool:
+    """Whether upper_bound(k, n, error) <= risk."""
+    return k <= risk * n and tail(k, n, risk) <= error
+
+
+def setting_path(bad: Counter) -> list[tuple[int, ...]]:
+    """Nested joint settings (number of cutoffs in force of each rule), from the loosest to the strictest.
+
+    bad counts bad documents by the place of the first cutoff of each rule that rejects them. The rule goes next
+    that rejects the most that are left, cutoff by cutoff up to there; where none rejects any, the loosest one.
+    """
+    grids = [len(grid) for _, grid in RULES.values()]
+    level, path = [0] * len(grids), []
+    while level != grids:
+        left = [(first, c) for first, c in bad.items() if all(f >= have for f, have in zip(first, level))]
+        gains = [(sum(c for first, c in left if first[r] < k), k, r) for r, grid in enumerate(grids) for k in range(level[r] + 1, grid + 1)]
+        _, k, r = max(gains, key=lambda g: (g[0], -g[1], -g[2]))
+        while level[r] < k:
+            level[r] += 1
+            path.append(tuple(level))
+    return path
+
+
 def cutoffs(judged: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> list[tuple]:
     """(lang, cutoff of each rule or None): one row a language among the labelled good documents."""
-    marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__q")).where("__q = 1")
-    good = judged.where("NOT base_failed").join(marks.select("doc_id"), "doc_id")
-    sums = [F.sum((F.expr(value) > t).cast("long")).alias(f"{rule}{k}") for rule, (value, grid) in RULES.items() for k, t in enumerate(grid)]
-    counts = good.groupBy("lang").agg(F.count("*").alias("n"), *sums).orderBy("lang").collect()
-    share = error / max(1, len(counts) * len(RULES))
-    out = []
-    for row in counts:
-        chosen = []
-        for rule, (_, grid) in RULES.items():
-            best = None
-            for k, t in enumerate(grid):
-                if row[f"{rule}{k}"] > risk / len(RULES) * row["n"] or upper_bound(row[f"{rule}{k}"], row["n"], share) > risk / len(RULES):
-                    break
-                best = t
-            chosen.append(best)
-        out.append((row["lang"], *chosen))
+    marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__q")).where("__q IN (0, 1)")
+    first = [F.expr(f"{len(grid)} - ({' + '.join(f'CAST({value} > {t}D AS INT)' for t in grid)})").alias(f"__{rule}") for rule, (value, grid) in RULES.items()]
+    # at most one row for each stratum, label and combination of cutoffs
+    counts = judged.where("NOT base_failed").join(marks, "doc_id").groupBy("lang", "__q", *first).count().collect()
+    bad, good = Counter(), defaultdict(Counter)
+    for lang, q, *places, c in counts:
+        (good[lang] if q else bad)[tuple(places)] += c
+    sizes = sorted((c.total() for c in good.values()), reverse=True)
+    share = error / max((m for m, n in enumerate(sizes, 1) if within(0, n, risk, error / m)), default=1)
+    path, grids, out = setting_path(bad), [grid for _, grid in RULES.values()], []
+    for lang, by_place in sorted(good.items(), key=lambda x: (x[0] is not None, x[0])):
+        best, n = (0,) * len(grids), by_place.total()
+        for level in path:
+            if not within(sum(c for places, c in by_place.items() if any(p < have for p, have in zip(places, level))), n, risk, share):
+                break
+            best = level
+        out.append((lang, *(grid[have - 1] if have else None for grid, have in zip(grids, best))))
     return out
 
 
