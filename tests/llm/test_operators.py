@@ -390,3 +390,21 @@ def test_setting_path():
     assert path[:5] == [(1, 0, 0, 0, 0), (2, 0, 0, 0, 0), (3, 0, 0, 0, 0), (3, 0, 1, 0, 0), (3, 0, 2, 0, 0)]
     assert len(path) == 28 and path[-1] == (7, 6, 5, 5, 5)
     assert quality.within(0, 437, 0.01, 0.0125) and not quality.within(0, 436, 0.01, 0.0125)
+
+
+def test_stages_go_by_each_row(spark):
+    """Null and shared ids: a bad text takes no clean one along, and texts that aren't alike don't fold."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(None, text(0)), (None, "bad"), (None, text(1)), (None, None), (1, text(2)), (1, "bad"), (1, text(3)), (2, text(4))]
+    docs = spark.createDataFrame([(i, t, None, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, n_words long")
+    kept = quality.keep_good(spark, docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert kept.columns == docs.columns and sorted(r.n_words for r in kept.collect()) == [0, 2, 4, 6, 7]
+
+    near = text(4) + " tail"
+    rows = [(5, text(0)), (5, text(1)), (5, text(1)), (5, near), (3, text(4)), (4, text(1).upper()), (6, near), (None, text(0)), (None, text(0)), (5, None), (5, None), (5, " "), (7, None)]
+    rows += [(8, text(6)), (8, text(7)), (9, text(6)), (9, text(7) + " end")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k long")
+    kept = jaccard.keep_one(spark, docs)
+    assert kept.columns == docs.columns
+    # one of the equal rows stands for both, whichever
+    assert sorted({2: 1, 10: 9}.get(r.k, r.k) for r in kept.collect()) == [0, 4, 5, 7, 8, 9, 11, 12, 13, 14]

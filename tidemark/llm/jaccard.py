@@ -255,12 +255,19 @@ def components(spark: SparkSession, docs: DataFrame, size: int = WORDS, percent:
 def keep_one(spark: SparkSession, docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row of docs for each group of linked documents, that of the smallest doc_id; columns as they are.
 
-    Documents without words and rows without an id are in no group and stay.
+    Rows are compared by their texts: those that share an id fold only where the texts are equal or linked.
+    Texts without words fold with equal ones of their id only; rows without an id are in no group and stay.
     """
-    gone = components(spark, docs, size, percent).where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
-    one = Window.partitionBy("doc_id").orderBy("doc_id")
-    return left.withColumn("__k", F.row_number().over(one)).where("__k = 1 OR doc_id IS NULL").drop("__k")
+    scratch = Scratch(spark, "keep")
+    rows = docs.where("doc_id IS NOT NULL").withColumn("__key", F.xxhash64("doc_id", "text"))  # an id and a text
+    ids = rows.select("__key", "doc_id").distinct()
+    groups = components(spark, rows.select(F.col("__key").alias("doc_id"), "text"), size, percent)
+    groups = groups.select(F.col("doc_id").alias("__key"), F.col("component_id").alias("c")).distinct()
+    first = groups.join(ids, "__key").groupBy("c").agg(F.min(F.struct("doc_id", "__key")).alias("first"))
+    first = scratch.put(first.select(F.col("first.__key").alias("__first")), "first")
+    one = Window.partitionBy("__key").orderBy("__key")
+    left = rows.join(first, F.col("__key") == F.col("__first"), "left_semi").withColumn("__k", F.row_number().over(one)).where("__k = 1")
+    return left.drop("__key", "__k").union(docs.where("doc_id IS NULL"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

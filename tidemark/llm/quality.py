@@ -149,9 +149,9 @@ def cutoffs(judged: DataFrame, labels: DataFrame, risk: float = RISK, error: flo
     return out
 
 
-def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics, base_failed and kept for each row of docs(doc_id, text, lang)."""
-    judged = statistics(docs).withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words"))
+def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("lang",)) -> DataFrame:
+    """Kept columns, statistics, base_failed and kept for each row of docs(doc_id, text, lang)."""
+    judged = statistics(docs, keep).withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words"))
     judged = Scratch(spark, "quality").put(judged, "stats")
     limits = spark.createDataFrame(cutoffs(judged, labels), "__lang string, " + ", ".join(f"__{r} double" for r in RULES))
     rejected = F.lit(False)
@@ -162,9 +162,12 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that pass, columns as they are. Rows that share an id stay or go together."""
-    verdict = judge(spark, docs, labels).groupBy("doc_id").agg(F.min("kept").alias("k")).where("NOT k").select(F.col("doc_id").alias("__id"))
-    return docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of docs that pass, columns as they are. Each row goes by its own id, text and language."""
+    text = F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("__text")
+    judged = judge(spark, docs.select("doc_id", "text", "lang", text), labels, ("lang", "__text"))
+    gone = judged.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("lang").alias("__l"), F.col("__text").alias("__t")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("lang").eqNullSafe(F.col("__l")) & (F.col("__at") == F.col("__t"))
+    return docs.withColumn("__at", text).join(gone, same, "left_anti").drop("__at")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
