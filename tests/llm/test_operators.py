@@ -408,3 +408,36 @@ def test_stages_go_by_each_row(spark):
     assert kept.columns == docs.columns
     # one of the equal rows stands for both, whichever
     assert sorted({2: 1, 10: 9}.get(r.k, r.k) for r in kept.collect()) == [0, 4, 5, 7, 8, 9, 11, 12, 13, 14]
+
+
+def twin_words(k: int = 10) -> tuple[str, str]:
+    """Two words of 2^k letters on which every polynomial hash modulo 2^64 agrees."""
+    word = "a"
+    for _ in range(k):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def removed_bytes(texts: list[bytes], size: int) -> list[int]:
+    seen = collections.Counter(t[k : k + size] for t in texts for k in range(len(t) - size + 1))
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - size + 1):
+            if seen[t[k : k + size]] > 1:
+                gone[k : k + size] = True
+        out.append(int(gone.sum()))
+    return out
+
+
+def test_suffixes_of_rows_alike_in_id(spark, monkeypatch):
+    """Shared and null ids keep rows apart; segments and algebraic twins change nothing."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    shared, twins = text(700), twin_words()
+    rows = [(1, shared), (1, text(900)), (1, text(200) + shared[100:]), (None, text(500)), (None, shared[:450]), (None, None), (2, twins[0]), (3, twins[1]), (4, text(3000) + shared + text(3000)), (5, "z" * 5000), (6, "é" * 300 + shared)]
+    want = sorted(zip([str(i) for i, _ in rows], removed_bytes([(t or "").encode() for _, t in rows], 400)))
+    for segment in (suffixes.SEGMENT, 600):
+        monkeypatch.setattr(suffixes, "SEGMENT", segment)
+        got = suffixes.dedup(spark, spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, c_ string")).collect()
+        assert sorted((str(r.doc_id), r.n_removed) for r in got) == want

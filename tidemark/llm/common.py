@@ -44,6 +44,23 @@ class Scratch:
         jvm.System.gc()
 
 
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(id, key, text, doc_id) of docs(doc_id, text): id and key tell rows apart that differ in id or text; null texts are empty.
+
+    The id is doc_id, or 64 bits of the text where that is null; the key is 32 more bits of the text.
+    """
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("id"), F.hash(text).alias("key"), text.alias("text"), "doc_id")
+
+
+def per_text(texts: DataFrame, spans: DataFrame, *fields: str, keep: tuple[str, ...] = (), how: str = "inner") -> DataFrame:
+    """(id, key, text, spans, kept columns): each of texts with the list of its spans(id, key, fields); a text bounds its list."""
+    lists = spans.groupBy(F.col("id").alias("id_"), F.col("key").alias("key_")).agg(F.collect_set(F.struct(*fields)).alias("spans"))
+    joined = texts.join(lists, (F.col("id") == F.col("id_")) & (F.col("key") == F.col("key_")), how)
+    none = F.array().cast(lists.schema["spans"].dataType)
+    return joined.select("id", "key", "text", F.coalesce("spans", none).alias("spans"), *keep)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

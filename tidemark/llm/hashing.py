@@ -53,7 +53,6 @@ def anchors(keys: np.ndarray, span: int) -> np.ndarray:
     return (m[:n] & low).astype(np.int64)
 
 
-_TABLES = [np.frombuffer(hashlib.shake_256(b"bytes%d" % k).digest(2048), "<u8").astype(U) for k in range(2)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _SPACE = np.zeros(256, bool)
@@ -74,30 +73,57 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 2 <<
             at = stop
 
 
-def word_codes(texts: pa.BinaryArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit code for every word of the texts, and where each text's words begin (one entry more than texts)."""
+#: Keeps the first k of eight little-endian bytes.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+#: Where words are so long, the rest of them is hashed one word at a time.
+_LONG = 4096
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros past the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data),), "<u8", padded, strides=(1,))
+
+
+def word_spans(texts: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, where words begin and end in them, and where each text's words begin (one entry more than texts)."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    if not len(data):
-        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+    cut = np.ones(len(data) + 2, bool)  # white space, with one place before and one behind
+    cut[1:-1] = _SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
-    word = ~space
-    begin = np.empty(len(data), bool)
-    begin[0], begin[1:] = True, space[:-1]
-    begin = np.flatnonzero((begin | edge[:-1]) & word)
-    if not len(begin):
-        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
-    at = np.flatnonzero(word)
-    first = np.searchsorted(at, begin)
-    length = np.diff(np.append(first, len(at)))
-    power = _power(B2, int(length.max()))
-    table = _TABLES[0][_LOWER] if lower else _TABLES[0]
-    terms = table[data[at]] * power[np.arange(len(at)) - np.repeat(first, length)]
-    return mix(np.add.reduceat(terms, first) ^ length.astype(U)), np.searchsorted(begin, offsets)
+    begin = np.flatnonzero(~cut[1:-1] & (cut[:-2] | edge[:-1]))
+    end = np.flatnonzero(~cut[1:-1] & (cut[2:] | edge[1:])) + 1
+    return data, begin, end, np.searchsorted(begin, offsets)
+
+
+def word_codes(texts: pa.BinaryArray, lower: bool = False, seeds: tuple[int, ...] = (0,)) -> tuple:
+    """For each seed a 64-bit code for every word of the texts, then where each text's words begin (one entry more than texts).
+
+    A word goes through a bijective mix eight bytes at a time, after its length, so no algebra of the bytes makes
+    codes agree; codes of two seeds are independent.
+    """
+    data, begin, end, at = word_spans(texts)
+    if lower:
+        data = _LOWER[data]
+    length, view, out = end - begin, lanes(data), []
+    for seed in seeds:
+        start = mix(np.array([seed], U) + B2)[0]
+        code = mix(mix((view[begin] & _KEEP[np.minimum(length, 8)]) + start) ^ length.astype(U))
+        step, more = 8, np.flatnonzero(length > 8)
+        while len(more) and step < _LONG:
+            left = length[more] - step
+            code[more] = mix((code[more] * B1) ^ (view[begin[more] + step] & _KEEP[np.minimum(left, 8)]))
+            more, step = more[left > 8], step + 8
+        for k in more.tolist():
+            rest = hashlib.blake2b(data[begin[k] + step : end[k]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+            code[k] = mix(np.frombuffer(rest, "<u8") ^ code[k : k + 1])[0]
+        out.append(code)
+    return *out, at
 
 
 _powers: dict = {}
@@ -136,11 +162,24 @@ class RunHash:
         return mix((self.sums[size:] - self.sums[:-size]) * self.down[:n]) if n > 0 else np.zeros(0, U)
 
 
+#: Bytes that one code of a ByteHash covers.
+LANE = 8
+
+
 class ByteHash(RunHash):
-    """The same for a byte string; which: one of two independent hashes."""
+    """The same for a byte string, from mixed codes of the eight bytes at each place; which: one of two independent hashes.
+
+    Strings are at least eight bytes long.
+    """
 
     def __init__(self, data: bytes, which: int = 0):
-        super().__init__(_TABLES[which][np.frombuffer(data, np.uint8)], (B1, B2)[which])
+        super().__init__(mix(lanes(np.frombuffer(data, np.uint8)) + (B2, B1)[which]), (B1, B2)[which])
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return super().of(start, stop - (LANE - 1))
+
+    def grams(self, size: int) -> np.ndarray:
+        return super().grams(size - (LANE - 1))[: max(0, len(self.sums) - size)]
 
 
 def anchor_runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,5 +193,13 @@ def spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(lo, n).astype(np.int64) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
+def merged(lo: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of the ranges lo to stop as ascending ranges that do not touch."""
+    order = np.argsort(lo, kind="stable")
+    lo, reach = lo[order], np.maximum.accumulate(stop[order]) if len(lo) else stop
+    first = np.flatnonzero(np.append(True, lo[1:] > reach[:-1])) if len(lo) else np.zeros(0, np.int64)
+    return lo[first], reach[np.append(first[1:] - 1, len(lo) - 1)] if len(lo) else reach
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
