@@ -1,11 +1,12 @@
 """What the corpus operators share: word rule, scratch tables, connected components.
 
-Scratch tables live in the folder named by ``spark.checkpoint.dir``, which every executor sees;
-where the setting is absent (tests on one machine) a temporary folder is used.
+Scratch tables live in the folder named by ``spark.checkpoint.dir``, which every executor sees. Where the setting
+is absent a temporary folder is used if Spark runs in one process (tests); on a cluster that is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,13 +21,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tidemark-")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder that hold a mark of success, in order; none where the folder is missing."""
+    fs, at = _hadoop(spark, path)
+    found = [x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory()] if fs.exists(at) else []
+    return sorted(x for x in found if fs.exists(_hadoop(spark, f"{path}/{x}/_SUCCESS")[1]))
+
+
 class Scratch:
-    """A folder of written tables; a table that is written cuts the lineage and outlives executors."""
+    """A folder of written tables; a table that is written cuts the lineage and outlives executors.
+
+    The folder goes when the driver's JVM ends, so a returned DataFrame can read it until then.
+    """
 
     def __init__(self, spark: SparkSession, name: str, base: str | None = None):
         self.spark = spark
-        base = base or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-")
-        self.root = f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{(base or shared_folder(spark)).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
+        fs, at = _hadoop(spark, self.root)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -35,13 +64,16 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    @staticmethod
+    def delete(spark: SparkSession, path: str) -> None:
+        fs, at = _hadoop(spark, path)
+        fs.delete(at, True)
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads, and let Spark drop the shuffle files of finished steps."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()
+            self.delete(self.spark, self.path(name))
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:

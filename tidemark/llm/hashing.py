@@ -193,6 +193,12 @@ def spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(lo, n).astype(np.int64) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
+def row_slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def merged(lo: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of the ranges lo to stop as ascending ranges that do not touch."""
     order = np.argsort(lo, kind="stable")
