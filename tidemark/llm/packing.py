@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .tokens import END, default_tokenizer, encode, slices
+from .hashing import byte_slices
+from .tokens import END, default_tokenizer, encode_column
 
 CAPACITY = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -31,9 +32,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     path, end = tokenizer or default_tokenizer(), np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        for b in slices(batches):
+        for b in byte_slices(batches, 1):
             rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()], path)):
+            for doc, ids in zip(b.column(0).to_pylist(), encode_column(b.column(1), path)):
                 ids += end
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1

@@ -11,7 +11,6 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
 from string import punctuation
 
 import numpy as np
@@ -24,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
+from .hashing import byte_slices
 
 END = 2
-#: Words kept by a worker between batches and tasks, in two generations; about 200 bytes each.
-MEMO = 800_000
+#: Words kept by a worker between batches and tasks, in two generations, and the characters of the longest word that
+#: is kept: 300 bytes each at most, 200 on average.
+MEMO, LONGEST = 800_000, 32
 #: A cut before a space or line feed that follows another character falls between two tokens of a byte-level
 #: tokenizer, unless that character is white space as well.
 _PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -77,6 +78,8 @@ class _Memo(dict):
                     # closing punctuation after a letter or digit is a unit of its own
                     return self[stem] + self.words.bare[word[len(stem) :]]
                 ids = self.words.whole(self.lead + word)
+        if len(word) > LONGEST:
+            return ids
         self[word] = ids
         if len(self) > self.limit // 2:
             self.old = {}  # the last generation is free before the next is copied
@@ -94,6 +97,7 @@ class _Words:
         self.by_word = type(tokenizer.model).__name__ == "BPE" and tokenizer.normalizer is None and before.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in before
         self.spaced, self.bare = _Memo(self, " ", MEMO * 7 // 8), _Memo(self, "", MEMO // 8)
         self.line_feed = self.whole("\n")
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]  # these are found before words are
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -108,7 +112,7 @@ class _Words:
         return self.whole(gap[:-1]) + last if len(gap) > 1 else last
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or any(c in text for c in _OTHER_SPACE):
+        if not self.by_word or any(c in text for c in _OTHER_SPACE) or any(c in text for c in self.added):
             return self.whole(text)
         if "  " in text or "\n " in text or text.endswith(" "):
             return b"".join(map(self.piece, _PIECE.findall(text)))
@@ -121,9 +125,7 @@ def _words(path: str) -> _Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _state.update(path=path, words=_Words(tokenizer))
+        _state.update(path=path, words=_Words(Tokenizer.from_file(path)))
     return _state["words"]
 
 
@@ -132,17 +134,16 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     return list(map(_words(path).encode, texts))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+def encode_column(texts: pa.Array, path: str) -> list[bytes]:
+    """The same for a column of UTF-8 texts; null is the empty text."""
+    return encode(texts.cast(pa.string()).fill_null("").to_pylist(), path)
 
 
-def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, encoding: str = "dictionary", row_group_ids: int = 2 << 20, page_kb: int = 64, end_id: int = END) -> DataFrame:
+def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, encoding: str = "dictionary", row_group_ids: int = 2 << 20, page_kb: int = 64, page_rows: int = 64, end_id: int = END) -> DataFrame:
     """Write (doc_id, start, n_tokens, ids) in ascending doc_id order, one Parquet file a range of ids.
 
     Returns (part, path, documents, total), a row a file; start counts the ids before the document in its file.
-    A row group ends once it has row_group_ids ids, pages hold page_kb, and page indexes on doc_id and start find
+    A row group ends once it has row_group_ids ids, pages hold page_kb and page_rows at most, and page indexes on doc_id and start find
     single documents without reading ids. encoding: 'dictionary' or 'delta'. Files are written under a name of the
     attempt and renamed when whole, through pyarrow's file systems.
     """
@@ -156,12 +157,12 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, e
         part = TaskContext.get().partitionId()
         name, at, documents, held, held_ids, writer = f"{base}/part-{part:06d}.parquet", 0, 0, [], 0, None
         partial = f"{name}.{uuid.uuid4().hex}"
-        for b in slices(batches):
+        for b in byte_slices(batches, 1):
             if writer is None:
                 fs.create_dir(base, recursive=True)
                 sink = fs.open_output_stream(partial)
-                writer = pq.ParquetWriter(sink, schema, compression="zstd", write_page_index=True, data_page_size=page_kb << 10, **layout)
-            ids = [x + end for x in encode([t or "" for t in b.column(1).to_pylist()], path)]
+                writer = pq.ParquetWriter(sink, schema, compression="zstd", write_page_index=True, data_page_size=page_kb << 10, max_rows_per_page=page_rows, **layout)
+            ids = [x + end for x in encode_column(b.column(1), path)]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             stops = np.cumsum(n)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, stops).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
@@ -175,6 +176,8 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, e
                 writer.write_table(pa.Table.from_batches(held))
             writer.close()
             sink.close()
+            if fs.get_file_info(name).type != pyarrow.fs.FileType.NotFound:  # by an attempt of this task that was lost afterwards
+                fs.delete_file(name)
             fs.move(partial, name)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([documents], pa.int64()), pa.array([at], pa.int64())], names=["part", "path", "documents", "total"])
 
@@ -208,6 +211,27 @@ def read_token_files(files: DataFrame, out: str) -> DataFrame:
     return _scan(files, out, each, "doc_id long, start long, n_tokens long, ids array<int>")
 
 
+def select_tokens(spark: SparkSession, files: DataFrame, ids: list[int] | None = None, columns: tuple[str, ...] = ("doc_id", "start", "n_tokens", "ids")) -> DataFrame:
+    """The columns of chosen documents (of all, where ids is None) from files(part, path, total).
+
+    Spark's own reader is told the ids, so files, row groups and then pages are passed over by their statistics and
+    page indexes, and columns that are not asked for are not read: metadata costs no token pages.
+    """
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    based = files.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    paths = [r.path for r in files.select("path").collect()]  # a row a file
+    schema = "doc_id long, start long, n_tokens long, ids array<int>"
+    if not paths:
+        return spark.createDataFrame([], schema).select(*columns)
+    held = spark.read.schema(schema).parquet(*paths)
+    if ids is not None:
+        held = held.where(F.col("doc_id").isin([int(i) for i in ids]))
+    if "start" not in columns:
+        return held.select(*columns)
+    held = held.select(*columns, F.col("_metadata.file_name").alias("name")).join(based, F.col("name") == F.col("file"))
+    return held.select(*((F.col("start") + F.col("base")).alias("start") if c == "start" else c for c in columns))
+
+
 def digests(files: DataFrame, out: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the files; n_tokens is counted from the ids read."""
 
