@@ -20,12 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, rows_of, table
-from .hashing import B1, B2, U, byte_slices, mix, signed, word_codes, word_windows
-from .tokens import slices
+from .hashing import B1, B2, U, byte_slices, mix, row_slices, signed, word_codes, word_windows
 
 WORDS, PERCENT = 5, 80
 COMMON, MAX_COMMON, SLICE = 16, 1_000_000, 8192
@@ -119,7 +118,7 @@ def may_link(pairs: DataFrame, prefixed: DataFrame, percent: int) -> DataFrame:
     right = prefixed.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
 
     def run(batches):
-        for batch in slices(batches, 4096):
+        for batch in row_slices(batches, 4096):
             na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             x, y = batch.column(4), batch.column(5)
             xo, yo, xv, yv = x.offsets.to_numpy(), y.offsets.to_numpy(), x.values.to_numpy().view(U), y.values.to_numpy().view(U)
@@ -152,7 +151,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("tb"))
 
     def run(batches):
-        for batch in slices(batches, 1024):
+        for batch in row_slices(batches, 1024):
             x, y = batch.column(2), batch.column(3)
             xo, yo, xv, yv = x.offsets.to_numpy(), y.offsets.to_numpy(), x.values.to_numpy(), y.values.to_numpy()
             keep = []
@@ -259,15 +258,14 @@ def keep_one(spark: SparkSession, docs: DataFrame, size: int = WORDS, percent: i
     Texts without words fold with equal ones of their id only; rows without an id are in no group and stay.
     """
     scratch = Scratch(spark, "keep")
-    rows = docs.where("doc_id IS NOT NULL").withColumn("__key", F.xxhash64("doc_id", "text"))  # an id and a text
-    ids = rows.select("__key", "doc_id").distinct()
-    groups = components(spark, rows.select(F.col("__key").alias("doc_id"), "text"), size, percent)
-    groups = groups.select(F.col("doc_id").alias("__key"), F.col("component_id").alias("c")).distinct()
-    first = groups.join(ids, "__key").groupBy("c").agg(F.min(F.struct("doc_id", "__key")).alias("first"))
-    first = scratch.put(first.select(F.col("first.__key").alias("__first")), "first")
-    one = Window.partitionBy("__key").orderBy("__key")
-    left = rows.join(first, F.col("__key") == F.col("__first"), "left_semi").withColumn("__k", F.row_number().over(one)).where("__k = 1")
-    return left.drop("__key", "__k").union(docs.where("doc_id IS NULL"))
+    rows = docs.where("doc_id IS NOT NULL").select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))  # an id and a text
+    ids = rows.select("key", "doc_id").distinct()
+    groups = components(spark, rows.select(F.col("key").alias("doc_id"), "text"), size, percent)
+    groups = groups.select(F.col("doc_id").alias("key"), F.col("component_id").alias("c")).distinct()
+    first = groups.join(ids, "key").groupBy("c").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    first = scratch.put(first.select(F.col("first.key").alias("first_")), "first")
+    left = rows.join(first, F.col("key") == F.col("first_"), "left_semi").select("key", "row").dropDuplicates(["key"])
+    return left.select("row.*").union(docs.where("doc_id IS NULL"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
