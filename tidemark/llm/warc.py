@@ -7,8 +7,8 @@ members' bytes begin, and reads only the byte ranges of the records it wants.
 Defined cases: a null html is an empty payload; a null url leaves the target out; of equal payloads the one
 with the smallest page_id is the response (rows that repeat that id as well), others are revisits; a null
 page_id counts after all others; an empty table gives an empty result; other columns are ignored.
-Archives go to the shared folder through pyarrow's file systems (file, s3, gs, hdfs), under a name of the
-attempt first and renamed when whole, so a task that runs again does no harm.
+Archives go to the shared folder through pyarrow's file systems (file, s3, gs, hdfs), under a name of the task's
+attempt, and are listed by the attempts that ended well, so a task that runs again does no harm.
 """
 
 from __future__ import annotations
@@ -67,14 +67,29 @@ def parse(raw: bytes) -> dict:
     return {"page_id": number(fields["WARC-Record-ID"]), "record_type": fields["WARC-Type"], "refers_to": number(fields.get("WARC-Refers-To", "")), "payload_bytes": size, "payload_digest": told, "payload": None if revisit else payload}
 
 
+def _directory_ends(f, tail: bytes, tail_at: int, end: int) -> bool:
+    """Whether the end record at `end` of the tail tells of a directory that stands where it says."""
+    count, length, start = struct.unpack_from("<HII", tail, end + 10)
+    if count == 0xFFFF or 0xFFFFFFFF in (length, start):
+        return end >= 20 and tail[end - 20 : end - 16] == b"PK\x06\x07"
+    if start + length != tail_at + end:
+        return False
+    f.seek(start)
+    return not count or f.read(4) == b"PK\x01\x02"
+
+
 def members(f, size: int) -> dict[str, tuple[int, int]]:
     """Name -> (first byte, length) of the stored members of a ZIP file, from its directories alone."""
     tail_at = max(0, size - 65_557)
     f.seek(tail_at)
     tail = f.read(size - tail_at)
-    end = tail.rfind(b"PK\x05\x06")
-    if end < 0:
-        raise ValueError("no end of central directory")
+    end = len(tail)
+    while True:  # the last mark whose comment ends with the file: a comment may hold the mark's bytes itself
+        end = tail.rfind(b"PK\x05\x06", 0, end)
+        if end < 0:
+            raise ValueError("no end of central directory")
+        if end + 22 <= len(tail) and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] == len(tail) and _directory_ends(f, tail, tail_at, end):
+            break
     count, length, start = struct.unpack_from("<HII", tail, end + 10)
     if end >= 20 and tail[end - 20 : end - 16] == b"PK\x06\x07" and (count == 0xFFFF or 0xFFFFFFFF in (length, start)):
         f.seek(struct.unpack_from("<Q", tail, end - 12)[0])
@@ -106,28 +121,29 @@ def members(f, size: int) -> dict[str, tuple[int, int]]:
     return out
 
 
-def write_archives(pages: DataFrame, root: str) -> DataFrame:
-    """Write pages(page_id, url, payload, refers_to, is_revisit) as one archive a partition; (path, records)."""
+def write_archives(pages: DataFrame, root: str, archive_bytes: int = 1 << 30) -> DataFrame:
+    """Write pages(page_id, url, payload, refers_to, is_revisit) as archives of about archive_bytes, one a partition at least; (path, records)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         fs, base = pyarrow.fs.FileSystem.from_uri(root)
-        name = f"{base}/part-{TaskContext.get().partitionId():06d}.zip"
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        fs.create_dir(base, recursive=True)
-        partial, index, at = f"{name}.{uuid.uuid4().hex}", [], 0
-        with fs.open_output_stream(partial) as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED) as z:
-            with z.open(DATA, "w", force_zip64=True) as data:
-                for b in (x for part in ((first,), batches) for x in part):
-                    for page_id, url, html, refers_to, is_revisit in zip(*(c.to_pylist() for c in b.columns)):
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        held = next(rows, None)
+        if held is not None:
+            fs.create_dir(base, recursive=True)
+        while held is not None:
+            # the name is that of this attempt: only what the task reports when it ends is ever read
+            name, index, at = f"{base}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.zip", [], 0
+            with fs.open_output_stream(name) as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED) as z:
+                with z.open(DATA, "w", force_zip64=True) as data:
+                    while held is not None and at < archive_bytes:
+                        page_id, url, html, refers_to, is_revisit = held
                         raw = gzip.compress(record(page_id, url, html.encode(), refers_to, is_revisit), 5, mtime=0)
                         data.write(raw)
                         index.append(json.dumps([page_id, at, len(raw)]))
                         at += len(raw)
-            z.writestr(INDEX, "\n".join(index))
-        fs.move(partial, name)
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)], pa.int64())], names=["path", "records"])
+                        held = next(rows, None)
+                z.writestr(INDEX, "\n".join(index))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)], pa.int64())], names=["path", "records"])
 
     # the rows come as the join by page_id has dealt them: payloads are not moved once more
     return pages.select("page_id", "url", "payload", "refers_to", "is_revisit").mapInArrow(run, "path string, records long")
