@@ -1,13 +1,15 @@
 """Quality rules with risk-controlled thresholds.
 
 Text statistics of every whole document, fixed base limits, and further rules whose cutoffs are chosen on
-labelled documents. Joint settings of all rules form one nested path from none to the strictest cutoffs, ordered
-by what each cutoff adds on the documents labelled bad, which say nothing about the good ones it is tested on.
+labelled documents. These are split in two: the ones labelled bad fit the candidates, the ones labelled good are the
+holdout that tests them and that nothing is fitted on. The candidates are joint settings of all rules in one nested
+path from none to the strictest cutoffs, ordered by what each cutoff adds on the bad documents.
 In each stratum (language) the settings are tested along the path, each on the documents that any of its rules
 rejects, and the last one is taken before the exact (Clopper-Pearson) upper bound on the rejected share of good
-documents exceeds the risk. Testing in a fixed order needs no correction among settings; the error rate is divided
-among the strata that have enough good labels for any proof, a choice that depends on their number alone. A
-stratum where no setting passes has no rules beyond the base, so few labels mean few rejections.
+documents exceeds the risk. Multiple testing is corrected twice: testing in a fixed order and stopping at the first
+failure needs no share of the error among settings, and the error is divided (Bonferroni) among the strata that are tested:
+the largest ones, as many as can prove anything at their share, a choice that depends on the numbers of good labels
+alone. A stratum where no setting passes has no rules beyond the base, so few labels mean few rejections.
 
 Defined cases: a null or empty text has 0 words and fails the base limits; a document that has no label, a
 null label or conflicting labels (the lower counts) is judged like any other; labels of unknown documents have
@@ -27,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, table
-from .tokens import slices
+from .hashing import byte_slices
 
 MIN_WORDS, MAX_REPEAT_PCT, REPEAT_WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
-RISK, ERROR = 0.01, 0.05
+RISK, ERROR = 0.02, 0.05
 #: Rule -> value (SQL over the statistics), cutoffs from the loosest to the strictest; a larger value is worse.
 RULES = {
     "symbols": ("n_symbols / greatest(word_chars, 1)", (0.5, 0.3, 0.2, 0.1, 0.05, 0.03, 0.02)),
@@ -76,8 +78,8 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("lang",)) -> DataFrame:
     schema = docs.select(*cols).schema
 
     def run(batches):
-        for b in slices(batches, 2048):
-            stats = list(zip(*(text_stats(t or "") for t in b.column(len(cols)).to_pylist())))
+        for b in byte_slices(batches, len(cols)):
+            stats = list(zip(*map(text_stats, b.column(len(cols)).cast(pa.string()).to_pylist())))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(cols))), *(pa.array(x, pa.int64()) for x in stats)], names=[*cols, *STATS])
 
     for s in STATS:
@@ -128,18 +130,26 @@ def setting_path(bad: Counter) -> list[tuple[int, ...]]:
 
 
 def cutoffs(judged: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> list[tuple]:
-    """(lang, cutoff of each rule or None): one row a language among the labelled good documents."""
+    """(lang, cutoff of each rule or None): one row a language that has good labels enough."""
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__q")).where("__q IN (0, 1)")
     first = [F.expr(f"{len(grid)} - ({' + '.join(f'CAST({value} > {t}D AS INT)' for t in grid)})").alias(f"__{rule}") for rule, (value, grid) in RULES.items()]
-    # at most one row for each stratum, label and combination of cutoffs
-    counts = judged.where("NOT base_failed").join(marks, "doc_id").groupBy("lang", "__q", *first).count().collect()
+    labelled = judged.where("NOT base_failed").join(marks, "doc_id").select("lang", "__q", *first).groupBy("lang", "__q", *(f"__{r}" for r in RULES)).count()
+    labelled = labelled.persist()  # at most a row for each stratum, label and combination of cutoffs
+    # only strata that have labels enough come to the driver: their number is bounded by that of the labels
+    least = next(n for n in range(1, 1 << 30) if within(0, n, risk, error))
+    sizes = labelled.where("__q = 1").groupBy(F.col("lang").alias("__lang")).agg(F.sum("count").alias("__n")).where(F.col("__n") >= least)
     bad, good = Counter(), defaultdict(Counter)
-    for lang, q, *places, c in counts:
-        (good[lang] if q else bad)[tuple(places)] += c
-    sizes = sorted((c.total() for c in good.values()), reverse=True)
-    share = error / max((m for m, n in enumerate(sizes, 1) if within(0, n, risk, error / m)), default=1)
+    for *places, c in labelled.where("__q = 0").groupBy(*(f"__{r}" for r in RULES)).agg(F.sum("count")).collect():
+        bad[tuple(places)] = c
+    for lang, *places, c in labelled.where("__q = 1").join(sizes, F.col("lang").eqNullSafe(F.col("__lang"))).select("lang", *(f"__{r}" for r in RULES), "count").collect():
+        good[lang][tuple(places)] = c
+    labelled.unpersist()
+    ranked = sorted(good, key=lambda lang: (-good[lang].total(), lang is not None, lang or ""))
+    tested = ranked[: max((m for m, lang in enumerate(ranked, 1) if within(0, good[lang].total(), risk, error / m)), default=0)]
+    share = error / max(1, len(tested))
     path, grids, out = setting_path(bad), [grid for _, grid in RULES.values()], []
-    for lang, by_place in sorted(good.items(), key=lambda x: (x[0] is not None, x[0])):
+    for lang in tested:
+        by_place = good[lang]
         best, n = (0,) * len(grids), by_place.total()
         for level in path:
             if not within(sum(c for places, c in by_place.items() if any(p < have for p, have in zip(places, level))), n, risk, share):
@@ -163,11 +173,11 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: tuple[s
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that pass, columns as they are. Each row goes by its own id, text and language."""
-    text = F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("__text")
-    judged = judge(spark, docs.select("doc_id", "text", "lang", text), labels, ("lang", "__text"))
-    gone = judged.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("lang").alias("__l"), F.col("__text").alias("__t")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("lang").eqNullSafe(F.col("__l")) & (F.col("__at") == F.col("__t"))
-    return docs.withColumn("__at", text).join(gone, same, "left_anti").drop("__at")
+    text = F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")
+    judged = judge(spark, docs.select("doc_id", "text", "lang", text), labels, ("lang", "digest"))
+    gone = judged.where("NOT kept").select(F.col("doc_id").alias("id_"), F.col("lang").alias("lang_"), F.col("digest").alias("digest_")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("digest") == F.col("digest_"))
+    return docs.select(F.struct("*").alias("row"), "doc_id", "lang", text).join(gone, same, "left_anti").select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
