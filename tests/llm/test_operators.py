@@ -181,6 +181,14 @@ def test_secrets(spark, tmp_path):
     assert ledger.entries().count() == len({t or "" for _, t in rows})  # copies and earlier blobs are scanned once
     got = sorted((str(r.path), r.text) for r in ledger.findings(versions).select("path", secrets.span_text(secrets.F.col("spans")).alias("text")).collect())
     assert got == sorted((str(i), ",".join(f"{k}:{a}:{e}" for a, _, e, k in spans(t))) for i, t in rows)
+    runs = len(common.subfolders(spark, str(tmp_path / "ledger")))
+    again = secrets.BlobLedger(spark, str(tmp_path / "ledger"))  # as another session would
+    again.update(versions)
+    assert runs == 2 and again.entries().count() == ledger.entries().count()
+    strict = secrets.BlobLedger(spark, str(tmp_path / "ledger"), secrets.RULES | {"hex": (r"[0-9a-f]{40,}", 0, 40)}, "strict-1")
+    assert strict.entries().count() == 0
+    strict.update(versions)
+    assert strict.findings(versions).agg({"n_hex": "sum"}).first()[0] == 1 and again.findings(versions).agg({"n_hex": "sum"}).first()[0] == 2
     clean = secrets.redact(spark, df, str(tmp_path / "other"))
     assert clean.columns == df.columns
     out = {r.doc_id: r.text for r in clean.collect()}
@@ -222,7 +230,6 @@ def encoded(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_tokenizer())
-    t.encode_special_tokens = True
     return {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in texts}
 
 
@@ -248,6 +255,10 @@ def test_token_files(spark, texts, tmp_path, encoding):
         assert rows[i].ids == want[i] and rows[i].start == sums[i].start == at and sums[i].n_tokens == len(want[i])
         assert sums[i].ids_crc32 == zlib.crc32(np.array(want[i], "<u4").tobytes())
         at += len(want[i])
+    metadata = {r.doc_id: r for r in tokens.select_tokens(spark, files, columns=("doc_id", "start", "n_tokens")).collect()}
+    assert {i: (r.start, r.n_tokens) for i, r in metadata.items()} == {i: (r.start, r.n_tokens) for i, r in sums.items()}
+    some = tokens.select_tokens(spark, files, [1, 200, 205, 9999]).collect()
+    assert {r.doc_id: (r.ids, r.start) for r in some} == {i: (want[i], rows[i].start) for i in (1, 200, 205)}
     meta = pq.ParquetFile(files.first().path).metadata.row_group(0).column(3)
     assert meta.has_offset_index and ("DELTA_BINARY_PACKED" in meta.encodings) == (encoding == "delta")
     empty = tokens.write_token_files(frame(spark, texts).limit(0), out + "0").cache()
@@ -322,6 +333,12 @@ def test_zip_directories(tmp_path):
         with path.open("rb") as f:
             found = warc.members(f, len(raw))
         assert {n: raw[at : at + k] for n, (at, k) in found.items()} == {n: n.encode() * 9 for n in ("a", "b/ü")}
+        # comments that hold end records, an empty one and one that tells of the file's own length
+        for comment in (b"PK\x05\x06" + bytes(18), b"PK\x05\x06" + bytes(18) + b"!", b"PK\x05\x06" + b"\x00" * 4 + b"\x01\x00" * 2 + b"\x10\x00\x00\x00" * 2 + b"\x00\x00"):
+            bare = raw[: -2 - len(b"PK comment")]
+            path.write_bytes(bare + len(comment).to_bytes(2, "little") + comment)
+            with path.open("rb") as f:
+                assert set(warc.members(f, path.stat().st_size)) == {"a", "b/ü"}
 
 
 def brute_stats(t):
@@ -441,3 +458,186 @@ def test_suffixes_of_rows_alike_in_id(spark, monkeypatch):
         monkeypatch.setattr(suffixes, "SEGMENT", segment)
         got = suffixes.dedup(spark, spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, c_ string")).collect()
         assert sorted((str(r.doc_id), r.n_removed) for r in got) == want
+
+
+def test_embeddings_of_rows_that_share_an_id(spark):
+    """A repeated id names several vectors: each counts its own links, and components meet by vectors, not by ids."""
+    east, north = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, east), (1, north), (2, [1.0, 0.01, 0.0]), (3, [0.01, 1.0, 0.0]), (3, east), (4, [0.0, 0.0, 2.0]), (None, east)]
+    df = spark.createDataFrame([(*r, "a", "x") for r in rows], "vec_id long, embedding array<double>, label string, cid string")
+    got = sorted(str((r.vec_id, r.n_links, r.component_id, r.kept)) for r in embeddings.near_duplicates(spark, df, tile=2).collect())
+    assert got == sorted(map(str, [(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (3, 2, 1, False), (4, 0, 4, True), (None, 0, None, True)]))
+
+
+def test_embedding_shape_grows_slowly():
+    assert [embeddings.shape(n)[0] for n in (1, 10**4, 10**6, 10**9)] == sorted(embeddings.shape(n)[0] for n in (1, 10**4, 10**6, 10**9))
+    work = [t * (embeddings.MOVE + n / 2**b) / 1 for n in (10**5, 10**9) for b, t in [embeddings.shape(n)]]
+    assert work[1] < 10 * work[0]  # a vector's cost, for ten thousand times the vectors
+
+
+def test_windows_of_twin_words(spark):
+    """Words on which polynomial hashes agree are different words, for windows and for shingles."""
+    one, two = twin_words()
+    rest = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, one), (4, two), (5, "a" * 9000), (6, "a" * 9001)], "doc_id long, text string")
+    assert {r.n_removed for r in windows.dedup(spark, docs).collect()} == {0}
+    assert {r.component_id for r in jaccard.components(spark, docs.where("doc_id > 2"), 4, 85).collect()} == {3, 4, 5, 6}
+
+
+def test_window_index_outlives_its_session(spark, texts, tmp_path):
+    """A second call opens the index again, meets the first call's documents in it, and compacts its runs."""
+    rows = [(i, t) for i, t in texts if i is not None]
+    middle = sorted(i for i, _ in rows)[len(rows) // 2]
+    early, late = ([r for r in rows if (r[0] < middle) == first] for first in (True, False))
+    whole = {r.doc_id: tuple(r) for r in windows.dedup(spark, frame(spark, rows)).collect()}
+    path = f"file://{tmp_path}/index"
+    first = windows.dedup(spark, frame(spark, early), batches=2, index_path=path).collect()
+    runs = [x for x in common.subfolders(spark, path) if x.startswith("run-")]
+    assert len(runs) == 2
+    (tmp_path / "index" / "run-000099-4").mkdir()  # a run that was never finished
+    second = windows.dedup(spark, frame(spark, late), batches=2, index_path=path, history=frame(spark, early)).collect()
+    assert {r.doc_id: tuple(r) for r in first + second} == whole
+    left = [x for x in common.subfolders(spark, path) if x.startswith("run-")]
+    assert len(left) <= 2 and runs[0] not in left
+    held = windows.FingerprintIndex(spark, path)
+    plan = spark.table(next(iter(held.runs.values()))).groupBy("hash").count()._jdf.queryExecution().toString()
+    held.close()
+    assert "Exchange" not in plan  # a run is read by its buckets
+
+
+def test_long_words_and_texts(spark):
+    long = " ".join(f"w{k % 977}x{k}" for k in range(250_000))
+    docs = spark.createDataFrame([(1, long), (2, "lead " + long + " tail"), (3, "q" * 3_000_000)], "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in windows.dedup(spark, docs).collect()} == {1: (250_000, 0), 2: (250_002, 250_000), 3: (1, 0)}
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixes.dedup(spark, docs).collect()}
+    assert got == {1: (len(long), len(long)), 2: (len(long) + 10, len(long)), 3: (3_000_000, 3_000_000)}
+
+
+def test_secrets_of_many_matches(spark, tmp_path):
+    """Spans, marks and the kept text of thousands of matches, some of which overlap, in one text and across parts."""
+    rng = random.Random(3)
+    pieces = ["é", " ", "token=abcdefgh", "secret: " + "0af" * 12, "AKIA" + "A" * 16, "password=short ", "0" * 40, "日本\n"]
+    rows = [(k, "".join(rng.choice(pieces) + rng.choice(["", " ", "x"]) for _ in range(n))) for k, n in enumerate((0, 1, 63, 64, 65, 128, 200, 6000))]
+
+    def spans(t):
+        s = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[1]) >= 8]
+        s += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        return sorted(s + [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32])
+
+    df = spark.createDataFrame([(*r, "mine", "my spans") for r in rows], "doc_id long, text string, seen string, spans string")
+    versions = secrets.addressed(df)
+    got = {r.path: r.s for r in secrets.scan(versions).join(versions.select("path", "blob"), "blob").select("path", secrets.span_text(secrets.F.col("spans")).alias("s")).collect()}
+    assert got == {i: ",".join(f"{k}:{a}:{e}" for a, _, e, k in spans(t)) for i, t in rows}
+    clean = {r.doc_id: r for r in secrets.redact(spark, df, str(tmp_path / "ledger")).collect()}
+    for i, t in rows:
+        out, at = "", 0
+        for a, _, e, _ in spans(t):
+            if a >= at:
+                out += t[at:a] + "[REDACTED]"
+            at = max(at, e)
+        assert clean[i].text == out + t[at:] and clean[i].seen == "mine" and clean[i].spans == "my spans"
+
+
+def read_bytes(spark, frame):
+    """Bytes that Spark's scans read to run the frame, as they count them where ranges are read one by one."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.hadoop.vectored.io.enabled", "false")
+    group = f"read {id(frame)}"
+    spark.sparkContext.setJobGroup(group, group)
+    frame.write.format("noop").mode("overwrite").save()
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    spark.sparkContext.setJobGroup("other", "other")
+    return sum(store.lastStageAttempt(s).inputBytes() for s in stages)
+
+
+def test_selective_reads_pass_pages_over(spark, tmp_path):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, " ".join(str(rng.randrange(10**6)) for _ in range(400))) for k in range(1500)], "doc_id long, text string")
+    out = f"file://{tmp_path}/tokens"
+    files = tokens.write_token_files(docs.repartition(1), out, encoding="delta", page_kb=8, page_rows=16).cache()
+    everything = read_bytes(spark, tokens.select_tokens(spark, files))
+    spark.sparkContext.setLogLevel("ERROR")
+    one = tokens.select_tokens(spark, files, [700])
+    assert len(one.first().ids) > 400
+    assert read_bytes(spark, one) < everything / 4  # one document, with footers and page indexes
+    assert read_bytes(spark, tokens.select_tokens(spark, files, columns=("doc_id", "n_tokens"))) < everything / 5  # metadata
+
+
+def test_mixing_odds(spark):
+    """Documents are taken at the rates they expect, which differ by length, and a hot group of equal rows is split."""
+    rng = random.Random(8)
+    sizes = [rng.choice((8, 64, 512)) for _ in range(6000)]
+    docs = spark.createDataFrame([(k, f"d{k} " + "w " * (n - 1), "abc"[k % 3]) for k, n in enumerate(sizes)], "doc_id long, text string, source string")
+    got = mixing.plan(spark, docs).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.source, r["size"]].append(r)
+    assert len({round(r.expected, 6) for r in got}) > 5  # unequal odds
+    for rows in by.values():
+        e, n = rows[0].expected, len(rows)
+        assert len({r.expected for r in rows}) == 1 and all(int(e) <= r.copies <= int(e) + 1 for r in rows)
+        p = e - int(e)
+        assert abs(sum(r.copies for r in rows) / n - e) <= 5 * (p * (1 - p) / n) ** 0.5 + 0.02
+    for source in "abc":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r["size"] * r.copies for r in own) - own[0].target) <= 0.005 * own[0].target
+        assert sum(r["size"] * r.expected for r in own) == pytest.approx(own[0].target, rel=1e-6)
+    same = spark.createDataFrame([(None, "a b c", "x")] * 3000 + [(k, "d e", "x") for k in range(3000)] + [(k, "f", "y") for k in range(9000)], "doc_id long, text string, source string")
+    got = mixing.plan(spark, same).collect()
+    assert len(got) == 15_000
+    for source in "xy":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r["size"] * r.copies for r in own) - own[0].target) <= 3
+
+
+def exact_tail(k, n, risk):
+    from fractions import Fraction
+    from math import comb
+
+    p = Fraction(risk).limit_denominator(1000)
+    return sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    """The verdicts of the small tables, with cutoffs found by exact fractions, setting by setting; some documents go by them."""
+    data = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang").collect()
+    marks = {}
+    for i, q in spark.read.parquet(f"{data}/labels.parquet").select("doc_id", "quality").collect():
+        if i is not None and q is not None:
+            marks[i] = min(q, marks.get(i, q))
+    values, failed = {}, {}
+    for i, t, _ in rows:
+        n, chars, symbols, dup, repeat = brute_stats(t)
+        lines = sum(bool(WORD.search(x)) for x in (t or "").split("\n"))
+        values[i] = (symbols / max(chars, 1), dup / max(lines, 1), repeat / max(n, 1), chars / max(n, 1), -chars / max(n, 1))
+        failed[i] = n < 20 or 100 * repeat > 30 * n
+    grids = [grid for _, grid in quality.RULES.values()]
+    rejects = lambda i, level: any(have and v > grid[have - 1] for v, grid, have in zip(values[i], grids, level))
+    judged = [(i, lang) for i, _, lang in rows if not failed[i] and i in marks]
+    bad = [i for i, _ in judged if marks[i] == 0]
+    level, path = [0] * 5, []
+    while level != [len(g) for g in grids]:  # the cutoff that rejects most of what is left, the nearest and first of equals
+        left = [i for i in bad if not rejects(i, level)]
+        steps = [(r, k) for r in range(5) for k in range(level[r] + 1, len(grids[r]) + 1)]
+        r, k = max(steps, key=lambda s: (sum(values[i][s[0]] > grids[s[0]][s[1] - 1] for i in left), -s[1], -s[0]))
+        while level[r] < k:
+            level[r] += 1
+            path.append(tuple(level))
+    good = collections.defaultdict(list)
+    for i, lang in judged:
+        if marks[i] == 1:
+            good[lang].append(i)
+    order = sorted(good, key=lambda lang: (-len(good[lang]), lang))
+    strata = max((m for m, lang in enumerate(order, 1) if exact_tail(0, len(good[lang]), quality.RISK) <= quality.ERROR / m), default=0)
+    chosen = {}
+    for lang in order[:strata]:
+        ids = good[lang]
+        for level in path:
+            gone = sum(rejects(i, level) for i in ids)
+            if gone > quality.RISK * len(ids) or exact_tail(gone, len(ids), quality.RISK) > quality.ERROR / strata:
+                break
+            chosen[lang] = level
+    want = {i: not failed[i] and not (lang in chosen and rejects(i, chosen[lang])) for i, _, lang in rows}
+    got = {r.doc_id: r.kept for r in quality.op10_quality_rules(spark, data).collect()}
+    assert got == want and any(not failed[i] and not k for i, k in want.items())
