@@ -1,157 +1,249 @@
-"""Byte codecs of a series and their round trips: XOR floats, zig-zag varints, runs, typed texts, zstd blocks.
+"""Series, points and spans as bytes and back: encoded columns, binary tables, CBOR and zstd blocks.
 
-Payloads are made in Arrow UDFs, one call a group of rows; a series is cut into chunks, so a long one is many
-groups. Every codec stores counts and is exact: NaN, signed zeros and 64 significant bits included.
+Payloads are made in Arrow workers, a chunk of bounded size at a time. What is read back equals what was written, bit by bit.
 """
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dialect import Duck, Spark
-from ..sources.views import log_lines, metric_points, query, spans
-
-CHUNK = 4096
-U = np.uint64
-
-
-def varint_encode(values: np.ndarray) -> bytes:
-    """Zig-zag LEB128 of 64-bit integers."""
-    v = np.asarray(values, np.int64)
-    z = ((v << 1) ^ (v >> 63)).view(U)
-    n = np.ones(len(z), np.int64)
-    for k in range(1, 10):
-        n += z >= U(1) << U(7 * k)
-    out = np.zeros((len(z), 10), np.uint8)
-    for k in range(10):
-        out[:, k] = ((z >> U(7 * k)) & U(127)).astype(np.uint8) | ((n > k + 1) << 7).astype(np.uint8)
-    return out[np.arange(10) < n[:, None]].tobytes()
-
-
-def varint_decode(data: bytes) -> np.ndarray:
-    b = np.frombuffer(data, np.uint8)
-    if not len(b):
-        return np.zeros(0, np.int64)
-    first = np.append(0, np.flatnonzero(b < 128)[:-1] + 1)
-    length = np.diff(np.append(first, len(b)))
-    shift = (np.arange(len(b)) - np.repeat(first, length)).astype(U) * U(7)
-    z = np.add.reduceat((b & 127).astype(U) << shift, first)
-    return ((z >> U(1)) ^ (U(0) - (z & U(1)))).view(np.int64)
-
-
-def xor_encode(values: np.ndarray) -> bytes:
-    """First value raw; then a bit 0 for a repeat, else 1, leading zeros (6 bits), length - 1 (6 bits) and the bits."""
-    v = np.asarray(values, np.float64).view(U)
-    bits = [format(int(v[0]), "064b")] if len(v) else []
-    for x in (v[1:] ^ v[:-1]).tolist():
-        if x:
-            s = format(x, "064b")
-            body = s.strip("0")
-            bits.append(f"1{s.index('1'):06b}{len(body) - 1:06b}{body}")
-        else:
-            bits.append("0")
-    text = "".join(bits)
-    return len(v).to_bytes(4, "big") + (int(text + "0" * (-len(text) % 8), 2).to_bytes(-(-len(text) // 8), "big") if text else b"")
-
-
-def xor_decode(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:4], "big")
-    text = "".join(format(b, "08b") for b in data[4:])
-    out, at = [int(text[:64], 2)] if n else [], 64
-    while len(out) < n:
-        if text[at] == "0":
-            out.append(out[-1])
-            at += 1
-        else:
-            lead, size = int(text[at + 1 : at + 7], 2), int(text[at + 7 : at + 13], 2) + 1
-            out.append(out[-1] ^ (int(text[at + 13 : at + 13 + size], 2) << (64 - lead - size)))
-            at += 13 + size
-    return np.array(out, U).view(np.float64)
-
-
-def chunks(points: DataFrame, size: int = CHUNK) -> DataFrame:
-    """points with chunk: consecutive points of a series, `size` at most."""
-    w = Window.partitionBy("series").orderBy("ts_s", "seq")
-    return points.withColumn("pos", F.row_number().over(w) - 1).withColumn("chunk", F.floor(F.col("pos") / size))
-
-
-def encode_series(points: DataFrame) -> DataFrame:
-    """(series, chunk, n, t0, ts, values): second differences of times as varints, values as XOR bits, zstd over both."""
+from ..functions import cbor
+from ..functions import series_bytes as sb
+from .metrics import INTERVALS, ordered, rollup_multi
+from .sequences import neighbours
+
+#: Points of a series in one payload, rows in a block, bytes of a trained dictionary, zstd level.
+CHUNK, BLOCK_ROWS, DICTIONARY, LEVEL = 4096, 1024, 1024, 3
+ENCODED = "series string, chunk long, n long, time_method string, times binary, pattern string, value_method string, numbers binary"
+
+
+def encode_series(points: DataFrame, size: int = CHUNK, level: int = LEVEL) -> DataFrame:
+    """ENCODED rows: chunks of a series, each with the codecs that suit its times and the pattern of its values, then zstd."""
 
     def run(group: pa.Table) -> pa.Table:
         import zstandard
 
-        order = np.argsort(group["pos"].to_numpy())
-        ts, values = group["ts_s"].to_numpy()[order], group["value"].to_numpy()[order]
-        packer = zstandard.ZstdCompressor(3)
-        return pa.table({"series": [group["series"][0].as_py()], "chunk": [group["chunk"][0].as_py()], "n": pa.array([len(ts)], pa.int64()), "ts": [packer.compress(varint_encode(np.diff(ts, prepend=0)))], "payload": [packer.compress(xor_encode(values))]})
+        order, pack = np.argsort(group["pos"].to_numpy()), zstandard.ZstdCompressor(level).compress
+        values = group["value"].to_numpy()[order]
+        time_method, times = sb.times_encode(group["ts_s"].to_numpy()[order])
+        pattern = sb.pattern_of(values)
+        value_method, numbers = sb.values_encode(values, pattern)
+        row = group["series"][0].as_py(), group["chunk"][0].as_py(), len(values), time_method, pack(times), pattern, value_method, pack(numbers)
+        return pa.Table.from_arrays([pa.array([x]) for x in row], names=[c.split()[0] for c in ENCODED.split(", ")])
 
-    return chunks(points).groupBy("series", "chunk").applyInArrow(run, "series string, chunk long, n long, ts binary, payload binary")
+    p = ordered(points).select("series", F.floor(F.col("pos") / size).alias("chunk"), "pos", "ts_s", F.col("value").cast("double").alias("value"))
+    return p.groupBy("series", "chunk").applyInArrow(run, ENCODED)
 
 
-def decode_series(encoded: DataFrame) -> DataFrame:
-    """(series, pos, ts_s, value) from encode_series."""
+def decode_series(encoded: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(series, pos, ts_s, value) from ENCODED rows."""
 
     def run(batches):
         import zstandard
 
-        unpacker = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             for row in b.to_pylist():
-                ts = np.cumsum(varint_decode(unpacker.decompress(row["ts"])))
-                values = xor_decode(unpacker.decompress(row["payload"]))
-                pos = row["chunk"] * CHUNK + np.arange(len(ts))
-                yield pa.RecordBatch.from_arrays([pa.array([row["series"]] * len(ts)), pa.array(pos), pa.array(ts), pa.array(values)], names=["series", "pos", "ts_s", "value"])
+                ts, values = sb.times_decode(row["time_method"], unpack(row["times"])), sb.values_decode(row["value_method"], unpack(row["numbers"]))
+                pos = row["chunk"] * size + np.arange(len(ts))
+                yield pa.RecordBatch.from_arrays([pa.array([row["series"]] * len(ts)), pa.array(pos), pa.array(ts.astype(np.int64)), pa.array(values)], names=["series", "pos", "ts_s", "value"])
 
     return encoded.mapInArrow(run, "series string, pos long, ts_s long, value double")
 
 
-def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(query(metric_points(Spark(sf_dir)), select="SELECT * FROM metric_points"))
+def encoded_sizes(encoded: DataFrame) -> DataFrame:
+    """(series, points, bytes)."""
+    return encoded.groupBy("series").agg(F.sum("n").alias("points"), F.sum(F.octet_length("times") + F.octet_length("numbers")).alias("bytes"))
+
+
+def method_counts(encoded: DataFrame) -> DataFrame:
+    """(column, method, chunks, points, bytes) for times and values."""
+    of = lambda name, method, payload: encoded.groupBy(F.lit(name).alias("column"), F.col(method).alias("method")).agg(F.count("*").alias("chunks"), F.sum("n").alias("points"), F.sum(F.octet_length(payload)).alias("bytes"))
+    return of("times", "time_method", "times").union(of("values", "value_method", "numbers"))
+
 
+def compare_series(points: DataFrame, decoded: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """Per series: points, places that one side lacks, times that differ, and values off by more than the tolerance."""
+    a = ordered(points).select("series", "pos", F.col("ts_s").alias("t"), F.col("value").alias("v"))
+    b = decoded.select(F.col("series").alias("series_"), F.col("pos").alias("pos_"), "ts_s", "value")
+    both = a.join(b, (F.col("series") == F.col("series_")) & (F.col("pos") == F.col("pos_")), "full_outer")
+    count = lambda c: F.sum(F.coalesce(c.cast("long"), F.lit(0)))
+    return both.groupBy(F.coalesce("series", "series_").alias("series")).agg(
+        F.count("*").alias("points"), count(F.col("pos").isNull() | F.col("pos_").isNull()).alias("lacking"), count(F.col("t") != F.col("ts_s")).alias("wrong_times"), count(F.abs(F.col("v") - F.col("value")) > tolerance).alias("wrong_values"),
+    )
 
-def xor_roundtrip(spark, sf_dir):
-    return decode_series(encode_series(_points(spark, sf_dir))).select("series", "pos", "ts_s", "value")
 
+def encode_rollups(points: DataFrame, intervals: tuple[int, ...] = INTERVALS) -> DataFrame:
+    """ENCODED rows of all intervals' averages; series carry their interval as <seconds>|<series>."""
+    rolled = rollup_multi(points, intervals)
+    return encode_series(rolled.select(F.concat_ws("|", F.col("interval_seconds").cast("string"), "series").alias("series"), F.col("bucket").alias("ts_s"), F.col("bucket").alias("seq"), F.col("avg_value").alias("value")))
 
-def wide_unpivot(spark, sf_dir):
-    """Wide numeric columns to points, null and non-finite values left out."""
-    wide = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
-    long = wide.unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "metric_name", "value")
-    long = long.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
-    return long.groupBy("metric_name").agg(F.count("*").alias("points"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.sum("value"), 2).alias("total"))
 
+def store_rollups(points: DataFrame, path: str, intervals: tuple[int, ...] = INTERVALS) -> None:
+    """The encoded rollups as Parquet, a folder an interval."""
+    e = encode_rollups(points, intervals).withColumn("interval_seconds", F.split("series", "[|]", 2)[0].cast("long")).withColumn("series", F.split("series", "[|]", 2)[1])
+    e.write.mode("overwrite").partitionBy("interval_seconds").option("compression", "zstd").parquet(path)
+
+
+def load_rollups(spark, path: str) -> DataFrame:
+    """(interval_seconds, series, bucket, avg_value) of stored rollups."""
+    e = spark.read.schema(ENCODED + ", interval_seconds long").parquet(path)
+    d = decode_series(e.withColumn("series", F.concat_ws("|", F.col("interval_seconds").cast("string"), "series")).drop("interval_seconds"))
+    return d.select(F.split("series", "[|]", 2)[0].cast("long").alias("interval_seconds"), F.split("series", "[|]", 2)[1].alias("series"), F.col("ts_s").alias("bucket"), F.col("value").alias("avg_value"))
+
+
+def xor_bits(points: DataFrame) -> DataFrame:
+    """(series, bits, bytes) of the XOR form: 64 for the first value, 1 for a repeat, else 13 and the significant bits."""
+
+    def run(batches):
+        for b in batches:
+            now, before = (b.column(k).to_numpy(zero_copy_only=False).astype(np.float64).view(np.uint64) for k in (1, 2))
+            x = now ^ before
+            size = sb.bit_length(x) - sb.bit_length(x & (np.uint64(0) - x)) + 1
+            bits = np.where(b.column(3).to_numpy(zero_copy_only=False), 64, np.where(x > 0, 13 + size, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits.astype(np.int64))], names=["series", "bits"])
 
-def phase_sizes(spark, sf_dir):
-    """Bytes of the points as JSON lines, as a binary table and as encoded columns."""
-    p = _points(spark, sf_dir)
-    json = p.agg(F.sum(F.octet_length(F.to_json(F.struct("ts_s", "metric_name", "value", "region"))) + 1).alias("bytes"))
-    table = p.agg((F.count("*") * 23).alias("bytes"))
-    packed = encode_series(p).agg(F.sum(F.octet_length("ts") + F.octet_length("payload")).alias("bytes"))
-    return json.select(F.lit("ndjson").alias("phase"), "bytes").union(table.select(F.lit("binary_table"), "bytes")).union(packed.select(F.lit("columnar_zstd"), "bytes"))
+    p = neighbours(ordered(points), ("series",), ("value",), (1,)).select("series", "value", F.coalesce("value_1", F.lit(0.0)).alias("before"), (F.col("pos") == 0).alias("first"))
+    return p.mapInArrow(run, "series string, bits long").groupBy("series").agg(F.sum("bits").alias("bits"), F.ceil(F.sum("bits") / 8).alias("bytes"))
 
 
-def nested_traces(spark, sf_dir):
-    """Spans nested by trace and exploded again: counts and checksums of both forms agree."""
-    s = spark.sql(query(spans(Spark(sf_dir)), select="SELECT * FROM spans"))
-    nested = s.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("start_time", "span_no", "service_name", "duration"))).alias("spans"))
-    return nested.select("trace_id", F.explode("spans").alias("s")).groupBy("trace_id").agg(F.count("*").alias("n"), F.sum("s.duration").alias("total"))
+# Binary tables
 
 
-def hex_roundtrip(spark, sf_dir):
-    """Hex texts to bytes and back; only texts that come back equal are encoded."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5("text").alias("h"))
-    return docs.select("doc_id", F.lower(F.hex(F.unhex("h"))).alias("back"), F.octet_length(F.unhex("h")).cast("long").alias("bytes"))
+def table_encode(rows: list[tuple[int, str, float, dict[str, str]]]) -> bytes:
+    """Row and string counts, the sorted strings with 16-bit lengths, then rows: time, name id, value, number of labels, their ids. Ids have 16 bits, or 32 beyond 65,536 strings."""
+    texts = sorted({s for _, name, _, labels in rows for s in (name, *labels, *labels.values())})
+    ids = {s: k for k, s in enumerate(texts)}
+    form = "H" if len(texts) <= 1 << 16 else "I"
+    out = [struct.pack("<II", len(rows), len(texts)), *(struct.pack("<H", len(raw)) + raw for raw in map(str.encode, texts))]
+    for ts, name, value, labels in rows:
+        pairs = [ids[s] for k in sorted(labels) for s in (k, labels[k])]
+        out.append(struct.pack(f"<q{form}dB{len(pairs)}{form}", ts, ids[name], value, len(labels), *pairs))
+    return b"".join(out)
 
 
-QUERIES = {f.__name__: f for f in (xor_roundtrip, wide_unpivot, phase_sizes, nested_traces, hex_roundtrip)}
-_D = Duck()
-ORACLE = {
-    "xor_roundtrip": query(metric_points(_D), select="SELECT series, CAST(row_number() OVER (PARTITION BY series ORDER BY ts_s, seq) - 1 AS BIGINT) AS pos, ts_s, value FROM metric_points"),
-    "wide_unpivot": "SELECT metric_name, count(*) AS points, min(value) AS low, max(value) AS high, round(sum(value), 2) AS total FROM (UNPIVOT (SELECT l_quantity, l_discount, l_tax FROM lineitem) ON l_quantity, l_discount, l_tax INTO NAME metric_name VALUE value) GROUP BY 1",
-    "nested_traces": query(spans(_D), select="SELECT trace_id, count(*) AS n, CAST(sum(duration) AS BIGINT) AS total FROM spans GROUP BY 1"),
-    "hex_roundtrip": "SELECT doc_id, md5(text) AS back, CAST(16 AS BIGINT) AS bytes FROM documents",
-}
+def table_decode(data: bytes) -> list[tuple[int, str, float, dict[str, str]]]:
+    (n, m), at, texts, rows = struct.unpack_from("<II", data), 8, [], []
+    for _ in range(m):
+        (size,) = struct.unpack_from("<H", data, at)
+        texts.append(data[at + 2 : at + 2 + size].decode())
+        at += 2 + size
+    form = "H" if m <= 1 << 16 else "I"
+    for _ in range(n):
+        ts, name, value, k = struct.unpack_from(f"<q{form}dB", data, at)
+        at += struct.calcsize(f"<q{form}dB")
+        pairs = [texts[i] for i in struct.unpack_from(f"<{2 * k}{form}", data, at)]
+        at += struct.calcsize(f"<{2 * k}{form}")
+        rows.append((ts, texts[name], value, dict(zip(pairs[::2], pairs[1::2]))))
+    return rows
+
+
+def _blocks(batches, rows: int):
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def to_tables(points: DataFrame, rows: int = BLOCK_ROWS, level: int = LEVEL) -> DataFrame:
+    """(rows, plain, payload): binary tables of at most `rows` points, their bytes, and the same with zstd."""
+
+    def run(batches):
+        import zstandard
+
+        for b in _blocks(batches, rows):
+            raw = table_encode([(t, name, v, dict(labels)) for t, name, v, labels in zip(*(c.to_pylist() for c in b.columns))])
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([zstandard.ZstdCompressor(level).compress(raw)])], names=["rows", "plain", "payload"])
+
+    return points.select("ts_s", "metric_name", F.col("value").cast("double"), "labels").mapInArrow(run, "rows long, plain long, payload binary")
+
+
+def from_tables(tables: DataFrame) -> DataFrame:
+    """(ts_s, metric_name, value, labels)."""
+    kinds = (pa.int64(), pa.string(), pa.float64(), pa.map_(pa.string(), pa.string()))
+
+    def run(batches):
+        import zstandard
+
+        for b in batches:
+            for payload in b.column(0).to_pylist():
+                rows = table_decode(zstandard.ZstdDecompressor().decompress(payload))
+                columns = list(zip(*rows)) or [()] * 4
+                columns[3] = [list(x.items()) for x in columns[3]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["ts_s", "metric_name", "value", "labels"])
+
+    return tables.select("payload").mapInArrow(run, "ts_s long, metric_name string, value double, labels map<string,string>")
+
+
+# CBOR and trained dictionaries
+
+# The compact names of span fields.
+COMPACT = {"trace_id": "t", "span_id": "s", "parent_span_id": "p", "operation_name": "o", "service_name": "svc", "start_time": "st", "end_time": "et", "duration_ns": "d", "tags": "tags", "logs": "logs", "status_code": "sc", "status": "stat"}
+
+
+def compact_spans(spans: DataFrame) -> DataFrame:
+    """Span fields under their compact names; a status text OK or ERROR goes, as the code says the same."""
+    kept = [F.col(c).alias(short) for c, short in COMPACT.items() if c in spans.columns and c != "status"]
+    if "status" in spans.columns:
+        kept.append(F.when(~F.col("status").isin("OK", "ERROR"), F.col("status")).alias("stat"))
+    return spans.select(*kept)
+
+
+def _plain(value, kind: pa.DataType):
+    if value is not None and pa.types.is_map(kind):
+        return {k: _plain(v, kind.item_type) for k, v in value}
+    return value
+
+
+def to_cbor(df: DataFrame, rows: int = BLOCK_ROWS, level: int | None = None, dictionary: bytes | None = None) -> DataFrame:
+    """(rows, plain, payload): blocks of CBOR maps one after the other, nulls left out, with zstd where a level is given."""
+
+    def run(batches):
+        import zstandard
+
+        trained = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+        for b in _blocks(batches, rows):
+            kinds = dict(zip(b.schema.names, b.schema.types))
+            raw = b"".join(cbor.dumps({c: _plain(v, kinds[c]) for c, v in row.items() if v is not None}) for row in b.to_pylist())
+            payload = raw if level is None else zstandard.ZstdCompressor(level, **trained).compress(raw)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([payload])], names=["rows", "plain", "payload"])
+
+    return df.mapInArrow(run, "rows long, plain long, payload binary")
+
+
+def from_cbor(blocks: DataFrame, schema: str, zstd: bool = False, dictionary: bytes | None = None) -> DataFrame:
+    """The rows again; a field that is not there is null."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        import zstandard
+
+        trained = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+        for b in batches:
+            for payload in b.column(0).to_pylist():
+                raw = zstandard.ZstdDecompressor(**trained).decompress(payload) if zstd else payload
+                rows = list(cbor.loads_all(raw))
+                pairs = lambda v: list(v.items()) if isinstance(v, dict) else v
+                yield pa.RecordBatch.from_arrays([pa.array([pairs(r.get(f.name)) if pa.types.is_map(f.type) else r.get(f.name) for r in rows], f.type) for f in target], schema=target)
+
+    return blocks.select("payload").mapInArrow(run, schema)
+
+
+def train_dictionary(df: DataFrame, samples: int = 500, size: int = DICTIONARY) -> bytes:
+    """A zstd dictionary of at most `size` bytes from CBOR forms of the first `samples` rows; empty where they are too few."""
+    import zstandard
+
+    rows = df.limit(samples).toArrow()
+    kinds = dict(zip(rows.schema.names, rows.schema.types))
+    texts = [cbor.dumps({c: _plain(v, kinds[c]) for c, v in row.items() if v is not None}) for row in rows.to_pylist()]
+    try:
+        return zstandard.train_dictionary(size, texts).as_bytes()
+    except zstandard.ZstdError:
+        return b""

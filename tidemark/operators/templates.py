@@ -11,12 +11,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dialect import Duck, Spark
-from ..sources.views import log_lines, query
-from . import logs
+from .logs import first_use_ids
 
 # The rules that define the templates, in order of precedence.
 RULES = (
@@ -67,73 +65,48 @@ def extract(lines: DataFrame) -> DataFrame:
 
 
 def dictionary(extracted: DataFrame) -> DataFrame:
-    """(template_id, template, kinds, first_line, n_lines); ids by first appearance. One row a template."""
-    by = extracted.groupBy("template").agg(F.first("kinds").alias("kinds"), F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"))
-    return by.withColumn("template_id", (F.row_number().over(Window.orderBy("first_line")) - 1).cast("long"))
+    """(template_id, template, n_lines); ids by first appearance. There may be nearly as many templates as lines."""
+    return first_use_ids(extracted, "template").select(F.col("id").alias("template_id"), "template", F.col("uses").alias("n_lines"))
 
 
-def rebuild(extracted: DataFrame) -> DataFrame:
-    """The lines again, from pieces and variables: a literal placeholder in a line does no harm."""
-    inner = F.zip_with(F.slice("pieces", F.lit(1), F.size("vars")), "vars", lambda p, v: F.concat(p, v))
-    return extracted.select("line_no", "line", F.concat(F.array_join(inner, ""), F.element_at("pieces", -1)).alias("rebuilt"))
-
-
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(query(log_lines(Spark(sf_dir)), select="SELECT line_no, line FROM log_lines"))
-
-
-def template_extract(spark, sf_dir):
-    return extract(_lines(spark, sf_dir)).select("line_no", "template")
-
+def with_template_id(extracted: DataFrame, templates: DataFrame) -> DataFrame:
+    return extracted.join(templates.select("template_id", "template"), "template")
 
-def template_top20(spark, sf_dir):
-    d = dictionary(extract(_lines(spark, sf_dir)))
-    return d.withColumn("pct", F.round(100.0 * F.col("n_lines") / F.sum("n_lines").over(Window.partitionBy()), 4)).orderBy(F.desc("n_lines"), "first_line").limit(20).select("template", "n_lines", "pct")
 
+def top(templates: DataFrame, n: int = 20) -> DataFrame:
+    """The n most frequent templates with their percentage; the one that came first wins ties."""
+    total = templates.agg(F.sum("n_lines").alias("total"))
+    best = templates.orderBy(F.desc("n_lines"), "template_id").limit(n)
+    return best.join(F.broadcast(total)).select("template", "n_lines", F.round(100.0 * F.col("n_lines") / F.col("total"), 4).alias("pct"))
 
-def template_dict(spark, sf_dir):
-    return dictionary(extract(_lines(spark, sf_dir))).select("template_id", "template", "n_lines")
 
+def variables(extracted: DataFrame) -> DataFrame:
+    """(line_no, pos, kind, text)."""
+    e = extracted.select("line_no", F.posexplode(F.arrays_zip("kinds", "vars")).alias("pos", "v"))
+    return e.select("line_no", F.col("pos").cast("long").alias("pos"), F.col("v.kinds").alias("kind"), F.col("v.vars").alias("text"))
 
-def variable_columns(spark, sf_dir):
-    e = extract(_lines(spark, sf_dir))
-    return e.select("line_no", F.posexplode(F.arrays_zip("kinds", "vars")).alias("pos", "v")).select("line_no", F.col("pos").cast("long").alias("pos"), F.col("v.kinds").alias("kind"), F.col("v.vars").alias("text"))
 
-
-def variable_counts(spark, sf_dir):
-    e = extract(_lines(spark, sf_dir))
+def counts(extracted: DataFrame) -> DataFrame:
+    """(line_no, n_<type> for each type)."""
     of = lambda t: F.size(F.filter("kinds", lambda k: k == F.lit(t))).cast("long").alias(f"n_{t.lower()}")
-    return e.select("line_no", *map(of, TYPES))
-
-
-def template_roundtrip(spark, sf_dir):
-    return rebuild(extract(_lines(spark, sf_dir))).agg(F.count("*").alias("n_lines"), F.sum(F.when(F.col("line") == F.col("rebuilt"), 0).otherwise(1)).cast("long").alias("wrong"))
-
+    return extracted.select("line_no", *map(of, TYPES))
 
-def template_breakdown(spark, sf_dir):
-    """Bytes of template ids, templates and each variable column."""
-    v = variable_columns(spark, sf_dir)
-    return v.groupBy("kind").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n_vars"), F.countDistinct("text").alias("n_distinct"))
 
+def rebuild(extracted: DataFrame) -> DataFrame:
+    """The lines again, from pieces and variables: a literal placeholder in a line does no harm."""
+    inner = F.zip_with(F.slice("pieces", F.lit(1), F.size("vars")), "vars", lambda p, v: F.concat(p, v))
+    return extracted.select("line_no", "line", F.concat(F.array_join(inner, ""), F.element_at("pieces", -1)).alias("rebuilt"))
 
-def document_templates(spark, sf_dir):
-    """Template frequencies over the lines of all documents: free text, no SQL form."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line")).select((F.col("doc_id") * 100_000 + F.col("k")).alias("line_no"), "line")
-    return extract(lines).groupBy("template").agg(F.count("*").alias("n_lines"))
 
+def verify(rebuilt: DataFrame) -> DataFrame:
+    """(n_lines, wrong): white space around a line is not part of it."""
+    trimmed = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
+    return rebuilt.agg(F.count("*").alias("n_lines"), F.sum((trimmed != F.col("rebuilt")).cast("long")).alias("wrong"))
 
-QUERIES = {f.__name__: f for f in (template_extract, template_top20, template_dict, variable_columns, variable_counts, template_roundtrip, template_breakdown, document_templates)}
 
-_D = Duck()
-_TEMPLATED = logs._templated(_D)
-_PARTS = """v AS (SELECT line_no, unnest([0, 1, 2, 3, 4]) AS pos, unnest(['BRACKET_TIME', 'IP', 'IDENTIFIER', 'NUM', 'PATH']) AS kind, unnest([regexp_extract(line, '^\\[[^\\]]*\\]'), regexp_extract(line, 'client ([0-9.]+)', 1), regexp_extract(line, 'user_[0-9]+'), regexp_extract(line, 'took ([0-9]+)', 1), regexp_extract(line, '/api.*$')]) AS text FROM log_lines)"""
-ORACLE = {
-    "template_extract": query(*_TEMPLATED, select="SELECT line_no, template FROM m"),
-    "template_top20": query(*_TEMPLATED, select="SELECT template, n_lines, round(100.0 * n_lines / sum(n_lines) OVER (), 4) AS pct FROM ids ORDER BY n_lines DESC, template_id LIMIT 20"),
-    "template_dict": query(*_TEMPLATED, select="SELECT CAST(template_id AS BIGINT) AS template_id, template, n_lines FROM ids"),
-    "variable_columns": query(log_lines(_D), _PARTS, select="SELECT line_no, CAST(pos AS BIGINT) AS pos, kind, text FROM v"),
-    "variable_counts": query(log_lines(_D), select="SELECT line_no, " + ", ".join(f"CAST({int(t in ('IP', 'BRACKET_TIME', 'PATH', 'IDENTIFIER', 'NUM'))} AS BIGINT) AS n_{t.lower()}" for t in TYPES) + " FROM log_lines"),
-    "template_roundtrip": query(log_lines(_D), select="SELECT count(*) AS n_lines, CAST(0 AS BIGINT) AS wrong FROM log_lines"),
-    "template_breakdown": query(log_lines(_D), _PARTS, select="SELECT kind, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, count(*) AS n_vars, count(DISTINCT text) AS n_distinct FROM v GROUP BY 1"),
-}
+def breakdown(extracted: DataFrame, templates: DataFrame) -> DataFrame:
+    """(part, bytes, n, n_distinct): template texts, the line's template ids at four bytes, and each variable column."""
+    texts = templates.agg(F.lit("templates").alias("part"), F.sum(F.octet_length("template")).cast("long").alias("bytes"), F.count("*").alias("n"), F.count("*").alias("n_distinct"))
+    ids = templates.agg(F.lit("template_ids").alias("part"), F.sum(F.col("n_lines") * 4).cast("long").alias("bytes"), F.sum("n_lines").cast("long").alias("n"), F.count("*").alias("n_distinct"))
+    v = variables(extracted).groupBy(F.col("kind").alias("part")).agg(F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.count("*").alias("n"), F.countDistinct("text").alias("n_distinct"))
+    return texts.union(ids).union(v)

@@ -1,113 +1,256 @@
-"""Spans and traces: relationships, call graph, critical path, column profiles. Spans stay flat, keyed by trace."""
+"""Spans and traces: relationships, call graph, chains, critical paths, ids and orders.
+
+Functions take spans(trace_id, span_no, parent_no, service_name, operation_name, start_time, duration, status_code), flat
+and keyed by trace; parent_no is null at a root. tags (a map) and logs (an array of level and message) are used where
+a function says so. Windows run within a trace.
+"""
 
 from __future__ import annotations
 
-from ..sources.views import query, spans
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .sequences import numbered, runs
+
+#: Values of a tag up to which it is mapped.
+MAPPED = 10
+
+
+def _in_trace():
+    return Window.partitionBy("trace_id").orderBy("start_time", "span_no")
+
+
+def span_stats(spans: DataFrame) -> DataFrame:
+    return spans.agg(
+        F.count("*").alias("spans"), F.countDistinct("trace_id").alias("traces"), F.countDistinct("service_name").alias("services"), F.countDistinct("operation_name").alias("operations"),
+        F.round(F.avg((F.col("status_code") != 0).cast("double")), 6).alias("error_rate"), F.round(F.avg("duration") / 1e6, 4).alias("mean_ms"),
+    )
+
+
+def top_services(spans: DataFrame, n: int = 10) -> DataFrame:
+    return spans.groupBy("service_name").agg(F.count("*").alias("spans")).orderBy(F.desc("spans"), "service_name").limit(n)
+
 
-_T = "PARTITION BY trace_id ORDER BY start_time, span_no"
-_PC = "pc AS (SELECT p.trace_id, p.span_no AS parent, p.service_name AS parent_service, c.span_no AS child, c.service_name AS child_service FROM spans c JOIN spans p ON c.trace_id = p.trace_id AND c.parent_no = p.span_no)"
+def tags_of(spans: DataFrame, tags: dict[str, Column] | None = None) -> DataFrame:
+    """(k, v): a row for each tag of each span, from its map or from the given columns."""
+    held = F.create_map(*(x for k, c in tags.items() for x in (F.lit(k), c.cast("string")))) if tags else F.col("tags")
+    return spans.select(F.explode(F.map_filter(held, lambda k, v: v.isNotNull())).alias("k", "v"))
 
 
-def span_stats(x):
-    return query(spans(x), select="SELECT count(*) AS spans, count(DISTINCT trace_id) AS traces, count(DISTINCT service_name) AS services, count(DISTINCT operation_name) AS operations, round(avg(CASE WHEN status_code <> 0 THEN 1e0 ELSE 0e0 END), 6) AS error_rate, round(avg(duration) / 1e6, 4) AS mean_ms FROM spans")
+def tag_domains(tags: DataFrame, mapped: int = MAPPED) -> DataFrame:
+    """(k, domain, mapped) of tags_of."""
+    return tags.groupBy("k").agg(F.countDistinct("v").alias("domain")).withColumn("mapped", F.col("domain") <= mapped)
 
 
-def top_services(x):
-    return query(spans(x), select="SELECT service_name, count(*) AS spans FROM spans GROUP BY 1 ORDER BY spans DESC, service_name LIMIT 10")
+def tag_mapping(tags: DataFrame, mapped: int = MAPPED) -> DataFrame:
+    """(k, v, key_id, value_id): ids of keys and, where a key has few values, of its values, in order."""
+    u = tags.distinct().join(tag_domains(tags, mapped).where("mapped").select("k"), "k")
+    return u.select("k", "v", (F.dense_rank().over(Window.orderBy("k")) - 1).cast("long").alias("key_id"), (F.row_number().over(Window.partitionBy("k").orderBy("v")) - 1).cast("long").alias("value_id"))
 
 
-def tag_domains(x):
-    return query(spans(x), "t AS (SELECT 'service' AS k, service_name AS v FROM spans UNION ALL SELECT 'operation', operation_name FROM spans UNION ALL SELECT 'status', CAST(status_code AS VARCHAR(9)) FROM spans)",
-                 select="SELECT k, count(DISTINCT v) AS domain, count(DISTINCT v) <= 10 AS mapped FROM t GROUP BY 1")
+def calls(spans: DataFrame) -> DataFrame:
+    """(trace_id, parent, parent_service, child, child_service) of spans with their parents."""
+    c = spans.select("trace_id", F.col("span_no").alias("child"), F.col("parent_no").alias("parent"), F.col("service_name").alias("child_service"))
+    p = spans.select("trace_id", F.col("span_no").alias("parent"), F.col("service_name").alias("parent_service"), F.col("start_time").alias("parent_start"))
+    return c.join(p, ["trace_id", "parent"])
 
 
-def call_graph(x):
-    return query(spans(x), _PC, select="SELECT parent_service, child_service, count(*) AS calls FROM pc WHERE parent_service <> child_service GROUP BY 1, 2")
+def call_graph(spans: DataFrame) -> DataFrame:
+    return calls(spans).where("parent_service <> child_service").groupBy("parent_service", "child_service").agg(F.count("*").alias("calls"))
 
 
-def topology_ids(x):
-    return query(spans(x), "s AS (SELECT service_name, min(trace_id * 100 + span_no) AS f FROM spans GROUP BY 1)", select="SELECT service_name, CAST(row_number() OVER (ORDER BY f) - 1 AS BIGINT) AS service_id FROM s")
+def name_ids(spans: DataFrame, column: str = "service_name") -> DataFrame:
+    """(column, id) by first appearance. One row a name."""
+    s = spans.groupBy(column).agg(F.min(F.struct("trace_id", "start_time", "span_no")).alias("first_"))
+    return s.select(column, (F.row_number().over(Window.orderBy("first_")) - 1).cast("long").alias("id"))
 
 
-_REL = f"""i AS (SELECT *, row_number() OVER ({_T}) - 1 AS si, start_time - first_value(start_time) OVER ({_T}) AS std FROM spans),
-  rel AS (SELECT c.trace_id, c.span_no, c.si, coalesce(p.si, -1) AS pi, c.service_name, c.operation_name, c.std, c.duration, c.status_code, c.start_time FROM i c LEFT JOIN i p ON c.trace_id = p.trace_id AND c.parent_no = p.span_no)"""
+def names_to_ids(spans: DataFrame, ids: DataFrame) -> DataFrame:
+    column = ids.columns[0]
+    return spans.join(ids, column).drop(column).withColumnRenamed("id", f"{column}_id")
 
 
-def span_relationships(x):
-    return query(spans(x), _REL, select="SELECT trace_id, CAST(si AS BIGINT) AS si, CAST(pi AS BIGINT) AS pi, service_name, operation_name, std, duration, status_code FROM rel")
+def ids_to_names(coded: DataFrame, ids: DataFrame) -> DataFrame:
+    column = ids.columns[0]
+    return coded.join(ids.withColumnRenamed("id", f"{column}_id"), f"{column}_id").drop(f"{column}_id")
 
 
-def relationship_roundtrip(x):
-    return query(spans(x), _REL, "root AS (SELECT trace_id, min(start_time) AS t0 FROM spans GROUP BY 1)",
-                 select="SELECT count(*) AS spans, CAST(sum(CASE WHEN rel.std + t0 = rel.start_time THEN 0 ELSE 1 END) AS BIGINT) AS wrong, CAST(sum(CASE WHEN pi = -1 THEN 1 ELSE 0 END) AS BIGINT) AS roots FROM rel JOIN root ON rel.trace_id = root.trace_id")
+def relationships(spans: DataFrame) -> DataFrame:
+    """spans with si, the place in the trace, pi, that of the parent (-1 without one), and std, the time since the trace began."""
+    i = spans.withColumn("si", (F.row_number().over(_in_trace()) - 1).cast("long")).withColumn("std", F.col("start_time") - F.first("start_time").over(_in_trace()))
+    p = i.select(F.col("trace_id").alias("trace_"), F.col("span_no").alias("parent_"), F.col("si").alias("pi"))
+    joined = i.join(p, (F.col("trace_id") == F.col("trace_")) & (F.col("parent_no") == F.col("parent_")), "left")
+    return joined.withColumn("pi", F.coalesce("pi", F.lit(-1).cast("long"))).drop("trace_", "parent_")
 
 
-def parent_deltas(x):
-    return query(spans(x), _REL, select="SELECT trace_id, CAST(si AS BIGINT) AS si, CAST(CASE WHEN pi < 0 THEN -1 ELSE si - pi END AS BIGINT) AS parent_delta FROM rel")
+def from_relationships(rel: DataFrame, starts: DataFrame) -> DataFrame:
+    """Spans again from relationships(trace_id, span_no, si, pi, std, ...) and trace starts(trace_id, t0)."""
+    p = rel.select(F.col("trace_id").alias("trace_"), F.col("si").alias("si_"), F.col("span_no").alias("parent_no"))
+    held = rel.drop("parent_no", "start_time").join(starts, "trace_id").withColumn("start_time", F.col("t0") + F.col("std"))
+    held = held.join(p, (F.col("trace_id") == F.col("trace_")) & (F.col("pi") == F.col("si_")), "left")
+    return held.select("trace_id", "span_no", "parent_no", "service_name", "operation_name", "start_time", "duration", "status_code")
 
 
-def fan_out(x):
-    return query(spans(x), _PC, "f AS (SELECT trace_id, parent, parent_service, count(*) AS n, count(DISTINCT child_service) AS d FROM pc GROUP BY 1, 2, 3)", select="SELECT trace_id, parent_service AS service_name, max_by(n, parent) AS children FROM f WHERE n > 1 AND d > 1 GROUP BY 1, 2")
+def trace_starts(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("trace_id").agg(F.min("start_time").alias("t0"))
 
 
-def error_chain(x):
-    return query(spans(x), select=f"SELECT trace_id, {x.joined('service_name', 'start_time, span_no')} AS services, count(*) AS errors FROM spans WHERE status_code <> 0 GROUP BY 1")
+def parent_deltas(spans: DataFrame) -> DataFrame:
+    rel = relationships(spans)
+    return rel.select("trace_id", "si", F.when(F.col("pi") < 0, F.lit(-1).cast("long")).otherwise(F.col("si") - F.col("pi")).alias("parent_delta"))
 
 
-def repeated_ops(x):
-    return query(spans(x), select="SELECT trace_id, service_name, operation_name, count(*) AS times FROM spans GROUP BY 1, 2, 3 HAVING count(*) > 1")
+def global_index(spans: DataFrame) -> DataFrame:
+    """spans with gi, the place among all spans by trace and time, and gp, that of a parent that comes earlier, else -1."""
+    g = numbered(spans, (), ("trace_id", "start_time", "span_no"), F.floor(F.col("trace_id") / 4096), "gi")
+    p = g.select(F.col("trace_id").alias("trace_"), F.col("span_no").alias("parent_"), F.col("gi").alias("gp"))
+    joined = g.join(p, (F.col("trace_id") == F.col("trace_")) & (F.col("parent_no") == F.col("parent_")) & (F.col("gp") < F.col("gi")), "left")
+    return joined.withColumn("gp", F.coalesce("gp", F.lit(-1).cast("long"))).drop("trace_", "parent_")
 
 
-def leaf_spans(x):
-    return query(spans(x), select="SELECT trace_id, span_no, service_name FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans c WHERE c.trace_id = s.trace_id AND c.parent_no = s.span_no)")
+def fan_out(spans: DataFrame) -> DataFrame:
+    """(trace_id, service_name, services): different services that a span with several children calls; a service's last such span counts."""
+    f = calls(spans).groupBy("trace_id", "parent", "parent_service", "parent_start").agg(F.count("*").alias("n"), F.countDistinct("child_service").alias("d"))
+    last = F.max_by("d", F.struct("parent_start", "parent"))
+    return f.where("n > 1 AND d > 1").groupBy("trace_id", F.col("parent_service").alias("service_name")).agg(last.alias("services"))
 
 
-def orphan_spans(x):
-    return query(spans(x), "kept AS (SELECT * FROM spans WHERE span_no <> 2)", select="SELECT trace_id, span_no, parent_no FROM kept s WHERE parent_no IS NOT NULL AND NOT EXISTS (SELECT 1 FROM kept p WHERE p.trace_id = s.trace_id AND p.span_no = s.parent_no)")
+def error_chain(spans: DataFrame) -> DataFrame:
+    """(trace_id, services, errors): services of spans with errors, by time."""
+    own = F.array_sort(F.collect_list(F.struct("start_time", "span_no", "service_name")))  # of one trace
+    return spans.where("status_code <> 0").groupBy("trace_id").agg(own.alias("e"), F.count("*").alias("errors")).select("trace_id", F.col("e.service_name").alias("services"), "errors")
 
 
-def critical_path(x):
-    """Largest sum of durations from root to leaf of each trace, by recursion over the depth of the tree."""
-    walk = """path AS (SELECT trace_id, span_no, duration AS total FROM spans WHERE parent_no IS NULL
-      UNION ALL SELECT c.trace_id, c.span_no, p.total + c.duration FROM path p JOIN spans c ON c.trace_id = p.trace_id AND c.parent_no = p.span_no)"""
-    return query(spans(x), walk, select="SELECT trace_id, max(total) AS total FROM path GROUP BY 1").replace("WITH ", "WITH RECURSIVE ", 1)
+def repeated_operations(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("trace_id", "service_name", "operation_name").agg(F.count("*").alias("times")).where("times > 1")
 
 
-def service_chain(x):
-    """From the root while a span has exactly one child; how many spans and services the chain has."""
-    only = "single AS (SELECT trace_id, parent_no, max(span_no) AS child FROM spans WHERE parent_no IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1)"
-    walk = """chain AS (SELECT trace_id, span_no, service_name, CAST(1 AS BIGINT) AS depth FROM spans WHERE parent_no IS NULL
-      UNION ALL SELECT c.trace_id, c.span_no, c.service_name, p.depth + 1 FROM chain p JOIN single s ON s.trace_id = p.trace_id AND s.parent_no = p.span_no JOIN spans c ON c.trace_id = s.trace_id AND c.span_no = s.child)"""
-    return query(spans(x), only, walk, select="SELECT trace_id, max(depth) AS depth, count(DISTINCT service_name) AS services FROM chain GROUP BY 1").replace("WITH ", "WITH RECURSIVE ", 1)
+def leaf_spans(spans: DataFrame) -> DataFrame:
+    parents = spans.select(F.col("trace_id").alias("trace_"), F.col("parent_no").alias("parent_"))
+    return spans.join(parents, (F.col("trace_id") == F.col("trace_")) & (F.col("span_no") == F.col("parent_")), "left_anti")
 
 
-def column_profile(x):
-    long = "cols AS (SELECT 'service' AS c, service_name AS v FROM spans UNION ALL SELECT 'operation', operation_name FROM spans UNION ALL SELECT 'duration', CAST(duration AS VARCHAR(20)) FROM spans UNION ALL SELECT 'parent', CAST(parent_no AS VARCHAR(20)) FROM spans)"
-    return query(spans(x), long, select="""SELECT c, count(*) AS total, count(DISTINCT v) AS levels, CAST(sum(CASE WHEN v IS NULL OR v = '' THEN 1 ELSE 0 END) AS BIGINT) AS nullish,
-      CASE WHEN count(DISTINCT v) <= 10 THEN 'dictionary' WHEN c IN ('start', 'duration', 'parent') THEN 'delta' WHEN count(DISTINCT v) < 0.1 * count(*) THEN 'dictionary' ELSE 'run_length' END AS strategy FROM cols GROUP BY 1""")
+def orphan_spans(spans: DataFrame) -> DataFrame:
+    """Spans whose parent is named but not there."""
+    held = spans.select(F.col("trace_id").alias("trace_"), F.col("span_no").alias("span_"))
+    return spans.where("parent_no IS NOT NULL").join(held, (F.col("trace_id") == F.col("trace_")) & (F.col("parent_no") == F.col("span_")), "left_anti")
 
 
-def sorted_delta(x):
-    return query(spans(x), select="SELECT service_name, trace_id, span_no, duration - lag(duration) OVER (PARTITION BY service_name ORDER BY duration, trace_id, span_no) AS delta, CAST(row_number() OVER (PARTITION BY service_name ORDER BY duration, trace_id, span_no) AS BIGINT) AS place FROM spans")
+def traces_present(wanted: DataFrame, spans: DataFrame) -> DataFrame:
+    """wanted(trace_id) with whether any span has it."""
+    held = spans.select(F.col("trace_id").alias("trace_")).distinct()
+    return wanted.join(held, F.col("trace_id") == F.col("trace_"), "left").select(*wanted.columns, F.col("trace_").isNotNull().alias("present"))
 
 
-def status_rle(x):
-    return query(spans(x), f"k AS (SELECT trace_id, status_code, row_number() OVER ({_T}) AS pos, row_number() OVER ({_T}) - row_number() OVER (PARTITION BY trace_id, status_code ORDER BY start_time, span_no) AS island FROM spans)",
-                 select="SELECT trace_id, CAST(min(pos) AS BIGINT) AS start_pos, status_code, count(*) AS run_length FROM k GROUP BY trace_id, status_code, island")
+def first_error(spans: DataFrame) -> DataFrame:
+    """spans with error_message: the first message of level ERROR of a span that failed, else empty."""
+    logs = F.filter("logs", lambda x: x["level"] == "ERROR")
+    return spans.withColumn("error_message", F.when(F.col("status_code") != 0, F.coalesce(F.get(logs, 0)["message"], F.lit(""))).otherwise(F.lit("")))
 
 
-def pow2_residual(x):
-    return query(spans(x), "e AS (SELECT trace_id, span_no, duration, floor(ln(CAST(duration AS DOUBLE)) / ln(2.0)) AS k FROM spans WHERE duration > 0)",
-                 select="SELECT trace_id, span_no, CAST(k AS BIGINT) AS exponent, CAST(duration - pow(2, k) AS BIGINT) AS rest, abs(duration - pow(2, k)) <= 0.1 * duration AS near FROM e")
+def with_tags(spans: DataFrame) -> DataFrame:
+    """spans without the tags that are null."""
+    return spans.withColumn("tags", F.map_filter("tags", lambda k, v: v.isNotNull()))
 
 
-def columnar_repr(x):
-    return query(spans(x), _REL, select=f"SELECT trace_id, {x.joined('service_name', 'si')} AS services, {x.joined('duration', 'si')} AS durations, {x.joined('status_code', 'si')} AS statuses, {x.joined('pi', 'si')} AS parents FROM rel GROUP BY 1")
+def status_text(code: Column) -> Column:
+    return F.when(code == 0, "OK").otherwise("ERROR")
 
 
-def span_status_text(x):
-    return query(spans(x), select="SELECT trace_id, span_no, duration AS duration_ns, CASE WHEN status_code = 0 THEN 'OK' ELSE 'ERROR' END AS status FROM spans")
+def status_runs(spans: DataFrame) -> DataFrame:
+    """(trace_id, start_pos, status_code, run_length) in order of time."""
+    placed = spans.select("trace_id", "status_code", (F.row_number().over(_in_trace()) - 1).cast("long").alias("pos"))
+    return runs(placed, ("trace_id",), "status_code")
 
 
-QUERIES = {f.__name__: f for f in (span_stats, top_services, tag_domains, call_graph, topology_ids, span_relationships, relationship_roundtrip, parent_deltas, fan_out, error_chain, repeated_ops, leaf_spans, orphan_spans, critical_path,
-                                   service_chain, column_profile, sorted_delta, status_rle, pow2_residual, columnar_repr, span_status_text)}
+def columns(spans: DataFrame) -> DataFrame:
+    """The thirteen columns of a span in global order; tags and logs where the spans have them."""
+    g = global_index(first_error(spans) if "logs" in spans.columns else spans.withColumn("error_message", F.lit("")))
+    tags = F.col("tags") if "tags" in spans.columns else F.create_map().cast("map<string,string>")
+    logs = F.size("logs") if "logs" in spans.columns else F.lit(0)
+    return g.select(
+        "trace_id", F.col("gi").alias("span_index"), F.col("gp").alias("parent_index"), "service_name", "operation_name", "start_time", (F.col("start_time") + F.col("duration")).alias("end_time"), "duration", "status_code",
+        F.map_keys(tags).alias("tag_keys"), F.map_values(tags).alias("tag_values"), logs.cast("long").alias("log_count"), "error_message",
+    )
+
+
+# Whole traces
+
+ANALYSIS = "trace_id long, chain array<string>, critical_path array<string>, critical_total long, errors array<string>, fan_out map<string,long>, repeated map<string,long>"
+
+
+def _analyze(spans: list[dict]) -> tuple:
+    """Of one trace's spans in order of time: without recursion, so depth is no limit; what no root reaches counts for nothing but errors and repeats."""
+    children: dict = {}
+    for s in spans:
+        children.setdefault(s["parent_no"], []).append(s)
+    root = children.get(None, [None])[0]
+    chain, order = [], []
+    if root is not None:
+        at = root
+        chain.append(at["service_name"])
+        while len(children.get(at["span_no"], ())) == 1:
+            after = children[at["span_no"]][0]
+            if after["service_name"] != at["service_name"]:
+                chain.append(after["service_name"])
+            at = after
+        order = [root]
+        for s in order:  # grows on the way: parents before children
+            order += children.get(s["span_no"], ())
+    total, best = {}, {}
+    for s in reversed(order):
+        below, chosen = 0, None
+        for c in children.get(s["span_no"], ()):
+            if total[c["span_no"]] > below:  # the first of equals stays
+                below, chosen = total[c["span_no"]], c
+        total[s["span_no"]], best[s["span_no"]] = s["duration"] + below, chosen
+    path, at = [], root
+    while at is not None:
+        path.append(at["service_name"])
+        at = best[at["span_no"]]
+    fan: dict = {}
+    repeated: dict = {}
+    for s in spans:
+        own = children.get(s["span_no"], ())
+        services = {c["service_name"] for c in own}
+        if len(own) > 1 and len(services) > 1:
+            fan[s["service_name"]] = len(services)
+        name = f"{s['service_name']}:{s['operation_name']}"
+        repeated[name] = repeated.get(name, 0) + 1
+    errors = [s["service_name"] for s in spans if s["status_code"] != 0]
+    return chain, path, total[root["span_no"]] if root else None, errors, list(fan.items()), [(k, n) for k, n in repeated.items() if n > 1]
+
+
+def analyze(spans: DataFrame) -> DataFrame:
+    """ANALYSIS: a row a trace. Traces stand together and in order of time, and pass through a worker one by one."""
+    names = ["trace_id", "span_no", "parent_no", "service_name", "operation_name", "duration", "status_code"]
+    kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64(), pa.list_(pa.string()), pa.map_(pa.string(), pa.int64()), pa.map_(pa.string(), pa.int64()))
+
+    def run(batches):
+        held: list[dict] = []
+
+        def done(traces):
+            rows = [(t[0]["trace_id"], *_analyze(t)) for t in traces]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in ANALYSIS.split(", ")])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, traces, at = b.column(0), [], 0
+            rows = b.to_pylist()
+            ends = [k + 1 for k, new in enumerate(pc.not_equal(ids[1:], ids[:-1]).to_pylist()) if new]
+            for end in (*ends, len(rows)):
+                if held and held[0]["trace_id"] != rows[at]["trace_id"]:
+                    traces.append(held)
+                    held = []
+                held += rows[at:end]
+                at = end
+            if traces:
+                yield done(traces)
+        if held:
+            yield done([held])
+
+    placed = spans.select(*names, "start_time").repartition("trace_id").sortWithinPartitions("trace_id", "start_time", "span_no")
+    return placed.select(*names).mapInArrow(run, ANALYSIS)
