@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import codecs, columns, logs, metrics, sequences, traces
+from tidemark.operators import codecs, columns, log_columns, logs, metrics, sequences, templates, traces
 from tidemark.sources import files, synthetic
 from tidemark.sources.views import with_series
 
@@ -97,6 +97,20 @@ def test_lines(spark, tmp_path):
         assert raw[r.start_byte : r.start_byte + r.bytes].decode() == lines.where(F.col("line_no") == r.line_no).first().line + "\n"
 
 
+def test_phases_are_stored(spark, points, tmp_path):
+    lines = spark.createDataFrame([(k, f"user_{k % 3} took {k} ms at /a/{k % 2}") for k in range(50)], "line_no long, line string")
+    e = templates.extract(lines)
+    t = templates.dictionary(e)
+    tagged = templates.with_template_id(e, t)
+    order = logs.order_template(tagged)
+    files.store_phase(str(tmp_path / "p"), templates=t, columns=log_columns.encode_variables(templates.variables(e)), order=logs.encode_order(order), lines=logs.to_zstd(lines, 16), series=codecs.encode_series(points))
+    held = files.load_phase(spark, str(tmp_path / "p"), "templates", "columns", "order", "lines", "series")
+    assert sorted(map(tuple, log_columns.decode_variables(held["columns"]).collect())) == sorted(map(tuple, templates.variables(e).collect()))
+    assert sorted(map(tuple, logs.decode_order(held["order"]).collect())) == sorted((r.template_id, r.place, r.line_no) for r in order.collect())
+    assert sorted(map(tuple, logs.from_zstd(held["lines"], 16).collect())) == sorted(map(tuple, lines.collect()))
+    assert codecs.decode_series(held["series"]).count() == 400 and held["templates"].count() == 1
+
+
 def test_typed_parts(spark):
     texts = ["10.0.0.1", "255.255.255.255", "256.0.0.1", "1.2.3", "01.2.3.4", "a.b.c.d", "", None, "1.2.3.4.5"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", logs.ip_to_int(F.col("t")).alias("n"))

@@ -82,6 +82,39 @@ def prefixes(lines: DataFrame, width: int = 20) -> DataFrame:
     return lines.groupBy(F.substring("line", 1, width).alias("prefix")).agg(F.count("*").alias("n_lines"))
 
 
+# Storage
+
+
+def to_zstd(lines: DataFrame, size: int = 4096, level: int = 3) -> DataFrame:
+    """(block, n, plain, payload): lines in order, each with a line feed, as zstd blocks of at most `size` lines."""
+
+    def run(group: pa.Table) -> pa.Table:
+        import numpy as np
+        import zstandard
+
+        texts = group["line"].take(pa.array(np.argsort(group["line_no"].to_numpy()))).to_pylist()
+        raw = "".join(t + "\n" for t in texts).encode()
+        return pa.table({"block": group["block"][:1], "n": pa.array([len(texts)], pa.int64()), "plain": pa.array([len(raw)], pa.int64()), "payload": [zstandard.ZstdCompressor(level).compress(raw)]})
+
+    return lines.select("line_no", "line", F.floor(F.col("line_no") / size).alias("block")).groupBy("block").applyInArrow(run, "block long, n long, plain long, payload binary")
+
+
+def from_zstd(blocks: DataFrame, size: int = 4096) -> DataFrame:
+    """(line_no, line) of lines whose numbers have no gaps."""
+
+    def run(batches):
+        import zstandard
+
+        for b in batches:
+            for row in b.to_pylist():
+                texts = zstandard.ZstdDecompressor().decompress(row["payload"]).decode().split("\n")[:-1]
+                if len(texts) != row["n"]:
+                    raise ValueError(f"block {row['block']} does not hold its lines")
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"] * size + k for k in range(len(texts))], pa.int64()), pa.array(texts, pa.string())], names=["line_no", "line"])
+
+    return blocks.mapInArrow(run, "line_no long, line string")
+
+
 # Typed parts
 
 

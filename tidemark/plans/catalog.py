@@ -204,6 +204,7 @@ _over(
     line_stats=logs.line_stats,
     line_offsets=lambda x: logs.offsets(x).select("line_no", "start_byte"),
     byte_budget=lambda x: logs.byte_budget(x, 100_000).select("line_no"),
+    zstd_lines=lambda x: logs.from_zstd(logs.to_zstd(x)),
     format_analysis=lambda x: logs.formats(x, r"\] \[([a-z_]+)"),
     log_samples=logs.samples,
     log_prefixes=logs.prefixes,

@@ -47,6 +47,10 @@ def ip_roundtrip(x):
     return query(log_lines(x), select=f"SELECT line_no, {x.extract('line', 'client ([0-9.]+)', 1)} AS ip_text FROM log_lines")
 
 
+def zstd_lines(x):
+    return query(log_lines(x), select="SELECT line_no, line FROM log_lines")
+
+
 def log_samples(x):
     return query(log_lines(x), select="SELECT line_no, line[1:200] AS line FROM log_lines ORDER BY line_no LIMIT 10")
 
@@ -161,6 +165,6 @@ def template_breakdown(x):
       UNION ALL SELECT 'templates', CAST(sum(octet_length(encode(template))) AS BIGINT), count(*), count(*) FROM ids UNION ALL SELECT 'template_ids', CAST(sum(n_lines) * 4 AS BIGINT), CAST(sum(n_lines) AS BIGINT), count(*) FROM ids""")
 
 
-QUERIES = {f.__name__: f for f in (log_search, log_range, line_stats, line_offsets, byte_budget, format_analysis, log_samples, log_prefixes, ip_to_int, ip_roundtrip, num_encode, bracket_time_delta, path_components, identifier_dict,
+QUERIES = {f.__name__: f for f in (log_search, log_range, line_stats, line_offsets, byte_budget, format_analysis, zstd_lines, log_samples, log_prefixes, ip_to_int, ip_roundtrip, num_encode, bracket_time_delta, path_components, identifier_dict,
                                    order_template, order_timecluster, order_variables, order_hybrid, order_identity, order_mapping_delta, order_restore, order_roundtrip, order_benefit_runs,
                                    template_extract, template_top20, template_dict, variable_columns, variable_counts, template_roundtrip, template_breakdown, log_columns_roundtrip, log_column_sizes)}

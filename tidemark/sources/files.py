@@ -162,6 +162,16 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def store_phase(path: str, **tables: DataFrame) -> None:
+    """The tables of a phase, such as templates, lines and encoded columns, as zstd Parquet in folders of one folder."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path.rstrip('/')}/{name}")
+
+
+def load_phase(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in names}
+
+
 def cached(spark: SparkSession, folder: str, size: str, generator: str, make) -> DataFrame:
     """The dataset of a size and a generator: read if its folder, named by the MD5 of both, is whole, else made and written."""
     path = f"{folder.rstrip('/')}/{hashlib.md5(f'{size}-{generator}'.encode()).hexdigest()}"
