@@ -113,8 +113,11 @@ def test_suffixes(spark, texts, size):
     assert suffixes.dedup(spark, frame(spark, texts).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80), (1, 50)])
-def test_jaccard(spark, texts, size, percent):
+@pytest.mark.parametrize(("size", "percent", "small"), [(4, 85, 64), (5, 80, 1), (1, 50, 2)])
+def test_jaccard(spark, texts, size, percent, small, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", small)  # blocks and groups beyond go in tiles
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    monkeypatch.setattr(jaccard.tile_pairs, "__defaults__", (4,))
     sets = {}
     for i, t in texts:
         w = [x.encode().lower() for x in WORD.findall(t or "")]
@@ -126,6 +129,21 @@ def test_jaccard(spark, texts, size, percent):
     assert {r.doc_id: r.component_id for r in got} == components(sets, links)
 
 
+def test_jaccard_of_groups_that_fall_apart(spark, monkeypatch):
+    """Sets of one size and prefix, some linked and some not: what is common last in the order differs between them."""
+    monkeypatch.setattr(jaccard, "SMALL", 1)
+    monkeypatch.setattr(jaccard.tile_pairs, "__defaults__", (3,))
+    rng = random.Random(4)
+    common = [f"c{k}" for k in range(60)]
+    rows = [(k, " ".join(common)) for k in range(20)]  # makes these words common
+    rows = [(100 + k, " ".join(["r1", "r2", "r3"] + rng.sample(common, 12))) for k in range(40)] + [(200 + k, " ".join(rng.sample(common, 20))) for k in range(40)] + rows
+    sets = {i: set(t.split()) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 40 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.components(spark, docs, 1, 40).collect()}
+    assert got == components(sets, links) and len(set(got.values())) > 1
+
+
 def test_jaccard_edges(spark, texts):
     assert jaccard.components(spark, frame(spark, texts).limit(0)).count() == 0
     docs = frame(spark, [(1, "a b c"), (1, "a b c"), (2, "A B c"), (None, "a b c"), (3, None), (4, "")])

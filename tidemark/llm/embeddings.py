@@ -17,11 +17,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, table
+from .hashing import key_groups
 
 MIN_COSINE, RECALL, TILE, SEED = 0.98, 0.9999, 1024, 7
 #: Cosines that cost as much as moving one vector to one bucket.
@@ -110,23 +110,10 @@ def bucket_links(rows: DataFrame, min_cosine: float) -> DataFrame:
     """LINKS of rows(BUCKET, cid, n, own, embedding, sigs), group by group: many small groups pass in one batch."""
 
     def run(batches):
-        held = None
-        for b in batches:
-            b = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks().to_batches()[0] if b.num_rows else held
-            if b is None:
-                continue
-            new = np.zeros(b.num_rows - 1, bool)
-            for c in BUCKET:
-                new |= pc.not_equal(b[c][1:], b[c][:-1]).to_numpy(zero_copy_only=False)
-            ends = [0, *(np.flatnonzero(new) + 1).tolist()]
-            for p, q in zip(ends, ends[1:]):
-                found = _tile_links(b.slice(p, q - p), min_cosine)
-                if found is not None:
-                    yield found
-            held = b.slice(ends[-1])
-        found = None if held is None else _tile_links(held, min_cosine)
-        if found is not None:
-            yield found
+        for group in key_groups(batches, BUCKET):
+            found = _tile_links(group, min_cosine)
+            if found is not None:
+                yield found
 
     return rows.repartition(*BUCKET).sortWithinPartitions(*BUCKET).mapInArrow(run, LINKS)
 

@@ -199,6 +199,25 @@ def row_slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Reco
             yield batch.slice(at, rows)
 
 
+def key_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The rows of each key, which stand together; a group is small, and one that a batch cuts is put together again."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        new = np.zeros(b.num_rows - 1, bool)
+        for c in keys:
+            new |= pc.not_equal(b[c][1:], b[c][:-1]).to_numpy(zero_copy_only=False)
+        ends = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for p, q in zip(ends, ends[1:]):
+            yield b.slice(p, q - p)
+        held = b.slice(ends[-1])
+    if held is not None:
+        yield held
+
+
 def merged(lo: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of the ranges lo to stop as ascending ranges that do not touch."""
     order = np.argsort(lo, kind="stable")

@@ -6,7 +6,9 @@
 3. Sets with identical prefix and size form a group. Groups that share a prefix shingle are compared with the
    first group of the block, members are expanded and verified exactly on the full sets; components follow.
 4. Blocks that still hold several components give the pairs across components, which are verified in turn, so
-   no link between components is lost, while a large group of near copies never yields all its pairs.
+   no link between components is lost, while a large group of near copies never yields all its pairs. Blocks of more
+   than SMALL sets are compared in tiles inside a worker, which lets only the pairs out whose prefixes (for members of
+   one group, whose whole sets) allow a link.
 
 The order is a heuristic that any choice leaves exact: shingles seen twice or more in a slice of documents
 are counted over all documents, and the most common ones (at most MAX_COMMON, the size of a broadcast) go last.
@@ -24,10 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, rows_of, table
-from .hashing import B1, B2, U, byte_slices, mix, row_slices, signed, word_codes, word_windows
+from .hashing import B1, B2, U, byte_slices, key_groups, mix, row_slices, signed, word_codes, word_windows
 
 WORDS, PERCENT = 5, 80
 COMMON, MAX_COMMON, SLICE = 16, 1_000_000, 8192
+#: Sets of a block whose pairs are joined; rows of a tile of larger blocks.
+SMALL, TILE = 64, 512
 
 
 def shingles(texts: pa.BinaryArray, size: int) -> list[np.ndarray]:
@@ -108,6 +112,22 @@ def prefixes(docs: DataFrame, size: int, percent: int, common, ranks) -> DataFra
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, prefix array<long>")
 
 
+def _may(p: np.ndarray, q: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """Whether two prefixes, in the global order, of sets of n and m shingles allow the similarity."""
+    last = min(p[-1], q[-1])
+    i, j = np.searchsorted(p, last, "right"), np.searchsorted(q, last, "right")
+    both = np.concatenate([p[:i], q[:j]])
+    both.sort()
+    most = int((both[1:] == both[:-1]).sum()) + min(n - i, m - j)
+    return (100 + percent) * most >= percent * (n + m)
+
+
+def _do(p: np.ndarray, q: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """Whether two whole sets have the similarity."""
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (n + m - both)
+
+
 def may_link(pairs: DataFrame, prefixed: DataFrame, percent: int) -> DataFrame:
     """The pairs(a, b) whose prefixes allow the similarity.
 
@@ -122,15 +142,7 @@ def may_link(pairs: DataFrame, prefixed: DataFrame, percent: int) -> DataFrame:
             na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             x, y = batch.column(4), batch.column(5)
             xo, yo, xv, yv = x.offsets.to_numpy(), y.offsets.to_numpy(), x.values.to_numpy().view(U), y.values.to_numpy().view(U)
-            keep = []
-            for k in range(batch.num_rows):
-                p, q = xv[xo[k] : xo[k + 1]], yv[yo[k] : yo[k + 1]]
-                m = min(p[-1], q[-1])
-                i, j = np.searchsorted(p, m, "right"), np.searchsorted(q, m, "right")
-                both = np.concatenate([p[:i], q[:j]])
-                both.sort()
-                most = int((both[1:] == both[:-1]).sum()) + min(na[k] - i, nb[k] - j)
-                keep.append((100 + percent) * most >= percent * (na[k] + nb[k]))
+            keep = [_may(xv[xo[k] : xo[k + 1]], yv[yo[k] : yo[k + 1]], na[k], nb[k], percent) for k in range(batch.num_rows)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")
@@ -154,11 +166,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in row_slices(batches, 1024):
             x, y = batch.column(2), batch.column(3)
             xo, yo, xv, yv = x.offsets.to_numpy(), y.offsets.to_numpy(), x.values.to_numpy(), y.values.to_numpy()
-            keep = []
-            for k in range(batch.num_rows):
-                p, q = xv[xo[k] : xo[k + 1]], yv[yo[k] : yo[k + 1]]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            keep = [_do(xv[xo[k] : xo[k + 1]], yv[yo[k] : yo[k + 1]], xo[k + 1] - xo[k], yo[k + 1] - yo[k], percent) for k in range(batch.num_rows)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     # the first set of a block stands in many pairs: the other side is joined first, so each set moves once or twice
@@ -166,6 +174,36 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def tile_pairs(rows: DataFrame, test, percent: int, tile: int = TILE) -> DataFrame:
+    """(a, b): pairs of ids of one block, of different components, whose keys pass the test.
+
+    rows(block, id, n, left, lo, hi, keys): left is what the set has from the block's shingle on, lo and hi are the
+    least and the greatest component of the id's members. A block is cut into tiles, and each pair of tiles compared in a worker.
+    """
+    sizes = rows.groupBy(F.col("block").alias("block_")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    placed = rows.join(sizes, F.col("block") == F.col("block_")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    placed = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("i", F.least("own", "k")).withColumn("j", F.greatest("own", "k"))
+    placed = placed.select("block", "i", "j", "own", "id", "n", "left", "lo", "hi", "keys")
+
+    def run(batches):
+        for g in key_groups(batches, ("block", "i", "j")):
+            own, ids, n, left, lo, hi = (g[c].to_numpy() for c in ("own", "id", "n", "left", "lo", "hi"))
+            i, j = g["i"][0].as_py(), g["j"][0].as_py()
+            x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            least = np.minimum(left[x][:, None], left[y][None, :])
+            fit = (100 + percent) * least >= percent * (n[x][:, None] + n[y][None, :])
+            apart = (lo[x][:, None] != lo[y][None, :]) | (hi[x][:, None] != hi[y][None, :]) | (lo[x] != hi[x])[:, None]
+            p, q = np.nonzero(fit & apart & ((ids[x][:, None] < ids[y][None, :]) if i == j else (ids[x][:, None] != ids[y][None, :])))
+            offsets, values = g["keys"].offsets.to_numpy(), g["keys"].values.to_numpy().view(U)
+            keys = lambda k: values[offsets[k] : offsets[k + 1]]
+            found = [(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in zip(x[p].tolist(), y[q].tolist()) if test(keys(a), keys(b), n[a], n[b], percent)]
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return placed.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def components(spark: SparkSession, docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text)."""
     scratch = Scratch(spark, "jaccard")
@@ -229,21 +267,35 @@ def components(spark: SparkSession, docs: DataFrame, size: int = WORDS, percent:
     spread = scratch.put(label.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "spread")
     open_ = scratch.put(blocks.join(spread, "gid").select("token", "gid", "n", "left", "lo", "hi"), "open")
     still = scratch.put(open_.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select(F.col("token").alias("__t")), "still")
-    open_ = open_.join(still, F.col("token") == F.col("__t"), "left_semi")
-    x, y = (open_.select(*(F.col(c).alias(f"{c}{k}") for c in open_.columns)) for k in "xy")
+    counted = open_.join(still, F.col("token") == F.col("__t"), "left_semi").groupBy(F.col("token").alias("__t")).agg(F.count("*").alias("size"))
+    counted = scratch.put(counted, "sizes")
+    of = lambda c: open_.join(counted.where(c), F.col("token") == F.col("__t")).drop("__t", "size")
+    x, y = (of(F.col("size") <= SMALL).select(*(F.col(c).alias(f"{c}{k}") for c in open_.columns)) for k in "xy")
     apart = (F.col("lox") != F.col("loy")) | (F.col("hix") != F.col("hiy")) | (F.col("lox") != F.col("hix"))
     rest = x.join(y, (F.col("tokenx") == F.col("tokeny")) & (F.col("gidx") < F.col("gidy")) & apart & fits("nx", "leftx", "ny", "lefty"))
-    rest = rest.select(F.col("gidx").alias("ga"), F.col("gidy").alias("gb")).distinct()
+    rest = rest.select(F.col("gidx").alias("ga"), F.col("gidy").alias("gb"))
+    large = of(F.col("size") > SMALL).join(first.select("doc_id", F.col("prefix").alias("keys")), F.col("gid") == F.col("doc_id"))
+    large = large.select(F.col("token").alias("block"), F.col("gid").alias("id"), F.col("n").cast("long").alias("n"), F.col("left").cast("long").alias("left"), "lo", "hi", "keys")
+    rest = rest.union(tile_pairs(large, _may, percent)).distinct()
     # expand the groups of a pair, and pair the members of one group
     mine, other = (label.select(F.col("gid").alias(f"g{k}"), F.col("member").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
     rest = rest.join(mine, "ga").join(other, "gb").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    several = label.where("members > 1").join(spread.where("lo <> hi").select("gid"), "gid", "left_semi")
-    mine, other = (several.select(F.col("gid").alias(f"g{k}"), F.col("member").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
+    several = scratch.put(label.where("members > 1").join(spread.where("lo <> hi").select("gid"), "gid", "left_semi"), "several")
+    few = several.where(F.col("members") <= SMALL)
+    mine, other = (few.select(F.col("gid").alias(f"g{k}"), F.col("member").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
     inside = mine.join(other, (F.col("ga") == F.col("gb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b")
     rest = rest.union(inside).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = scratch.put(rest, "rest")
     scratch.drop("blocks", "open", "still", "spread")
     more = linked(rest, 2)
+    # members of large groups: their texts meet in tiles, and only links come out
+    many = scratch.put(several.where(F.col("members") > SMALL).select("gid", F.col("member").alias("doc_id"), "c"), "many")
+    if many.head(1):
+        texts = docs.select("doc_id", "text").join(many.select(F.col("doc_id").alias("__m")), F.col("doc_id") == F.col("__m"), "left_semi").dropDuplicates(["doc_id"])
+        tiled = sets_of(texts, size).join(many, F.col("doc") == F.col("doc_id"))
+        n = F.size("tokens").cast("long")
+        tiled = tiled.select(F.col("gid").alias("block"), F.col("doc_id").alias("id"), n.alias("n"), n.alias("left"), F.col("c").alias("lo"), F.col("c").alias("hi"), F.col("tokens").alias("keys"))
+        more = scratch.put(more.union(tile_pairs(tiled, _do, percent)), "more")
     if more.head(1):
         parts = connected_components(spark, links.union(more), scratch)
     out = scratch.put(reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("__n"), F.col("s1").alias("__1"), F.col("s2").alias("__2"), F.coalesce("component", "rep").alias("__c")), "result")
