@@ -268,7 +268,7 @@ def classify(points: DataFrame) -> DataFrame:
     """(series, n, pattern): the first rule that holds. Not-a-number and infinite values make a series random."""
     v, share = F.col("value"), lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     p = neighbours(ordered(points), ("series",), ("value",), (1, *PERIODS))
-    p = p.join(ordered(points).where("pos = 0").select("series", F.col("value").alias("v0")), "series")
+    p = p.join(points.groupBy("series").agg(F.min_by("value", F.struct("ts_s", "seq")).alias("v0")), "series")
     log = F.when(v > 0, F.when(v >= 1, F.floor(F.ln(v) / F.ln(F.lit(2.0)))).otherwise(F.ceil(F.ln(v) / F.ln(F.lit(2.0)))))
     ratio, odd = F.when(F.col("value_1") != 0, v / F.col("value_1")), F.isnan(v) | (F.abs(v) == float("inf"))
     a = p.groupBy("series").agg(
