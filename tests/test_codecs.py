@@ -130,6 +130,26 @@ def test_log_columns_keep_what_suits():
         assert typed == len(kept) and log_columns.decode_texts(kind, data, len(kept + others)) == kept + others
 
 
+def test_unpacked_logs(tmp_path):
+    import tarfile
+    import zipfile
+
+    from tidemark.sources.files import unpack_log
+
+    held = {"a.log": "small", "sub/b.log": "larger log", "c.txt": "x" * 99}
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        for name, text in held.items():
+            z.writestr(name, text)
+            (tmp_path / name).parent.mkdir(exist_ok=True)
+            (tmp_path / name).write_text(text)
+    with tarfile.open(tmp_path / "t.tar.gz", "w:gz") as t:
+        for name in held:
+            t.add(tmp_path / name, name)
+    for archive in ("z.zip", "t.tar.gz"):
+        path = unpack_log(str(tmp_path / archive), str(tmp_path / "out" / archive))
+        assert path.endswith("b.log") and open(path).read() == "larger log"
+
+
 def test_tables():
     rows = [(k, "cpu", float(k), {"host": "é", "z": str(k % 3)} if k % 2 else {}) for k in range(50)]
     assert frames.table_decode(frames.table_encode(rows)) == rows and frames.table_decode(frames.table_encode([])) == []

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import shutil
+import tarfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +36,26 @@ def read_logs(spark: SparkSession, path: str, clean: bool = False, most: int | N
     return normalized(out, most) if clean else out
 
 
+def unpack_log(archive: str, folder: str) -> str:
+    """The path of the largest .log file of a ZIP or tar archive, unpacked into a folder; of any file where none ends so. On the driver, in pieces."""
+    if zipfile.is_zipfile(archive):
+        with zipfile.ZipFile(archive) as z:
+            best = max((m for m in z.infolist() if not m.is_dir()), key=lambda m: (m.filename.endswith(".log"), m.file_size, m.filename))
+            with z.open(best) as source:
+                return _copied(source, folder, best.filename)
+    with tarfile.open(archive) as t:
+        best = max((m for m in t.getmembers() if m.isfile()), key=lambda m: (m.name.endswith(".log"), m.size, m.name))
+        return _copied(t.extractfile(best), folder, best.name)
+
+
+def _copied(source, folder: str, name: str) -> str:
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, os.path.basename(name))
+    with open(path, "wb") as out:
+        shutil.copyfileobj(source, out)
+    return path
+
+
 def write_text(lines: DataFrame, path: str) -> None:
     """text/: the lines in order, one file a range; index/: (line_no, start_byte, bytes) as Parquet."""
     lines.select("line_no", "line").repartitionByRange("line_no").sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(f"{path}/text")
