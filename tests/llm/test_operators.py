@@ -144,6 +144,48 @@ def test_jaccard_of_groups_that_fall_apart(spark, monkeypatch):
     assert got == components(sets, links) and len(set(got.values())) > 1
 
 
+@pytest.mark.parametrize(("pivots", "small"), [(8, 64), (1, 2)])
+def test_jaccard_of_near_copies_writes_no_square(spark, monkeypatch, pivots, small):
+    """Near copies of which about half the pairs link: no table and no list of links grows with the square of their number."""
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard.tile_pairs, "__defaults__", (40,))
+    rng = random.Random(6)
+    base, rows = [f"b{k}" for k in range(100)], []
+    for k in range(300):
+        words = list(base)
+        for at in rng.sample(range(100), rng.choice((4, 5, 6, 20))):
+            words[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    sets = {i: set(t.split()) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    put, written = common.Scratch.put, {}
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        written[name] = max(out.count(), written.get(name, 0))
+        return out
+
+    monkeypatch.setattr(common.Scratch, "put", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.components(spark, docs, 1, 80).collect()}
+    assert len(links) > 10_000 and got == components(sets, links)
+    pairs = {k: n for k, n in written.items() if re.match("rest|tried|likely|links|tiled|cc", k)}
+    assert max(pairs.values()) < 4000, pairs
+
+
+def test_overlaps_and_forest():
+    rng = np.random.default_rng(5)
+    x, y = ([np.sort(rng.choice(200, rng.integers(0, 60), replace=False)).astype(np.uint64) for _ in range(k)] for k in (9, 14))
+    assert jaccard.overlaps(x, y, 7).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]
+    near = rng.random((40, 40)) < 0.03
+    near |= near.T
+    np.fill_diagonal(near, False)
+    pairs = jaccard.forest(near)
+    assert components(range(40), pairs) == components(range(40), np.argwhere(near).tolist())
+    assert len(pairs) == 40 - len(set(components(range(40), pairs).values())) and all(near[a, b] for a, b in pairs)
+
+
 def test_jaccard_edges(spark, texts):
     assert jaccard.components(spark, frame(spark, texts).limit(0)).count() == 0
     docs = frame(spark, [(1, "a b c"), (1, "a b c"), (2, "A B c"), (None, "a b c"), (3, None), (4, "")])

@@ -4,11 +4,13 @@
 2. A global order puts shingles that many documents share last. Documents that link must share a shingle of
    their prefixes, the first n - ceil(t n) + 1 shingles in that order.
 3. Sets with identical prefix and size form a group. Groups that share a prefix shingle are compared with the
-   first group of the block, members are expanded and verified exactly on the full sets; components follow.
-4. Blocks that still hold several components give the pairs across components, which are verified in turn, so
-   no link between components is lost, while a large group of near copies never yields all its pairs. Blocks of more
-   than SMALL sets are compared in tiles inside a worker, which lets only the pairs out whose prefixes (for members of
-   one group, whose whole sets) allow a link.
+   first group of the block, members with their group's first, verified exactly on the full sets; components follow.
+4. In blocks of more than PIVOTS sets that still hold several components, each set meets up to PIVOTS sets of the block.
+   So a large group of near copies, of which many link, falls into one component and a few others.
+5. Blocks that still hold several components give the pairs across components, so no link between components is
+   lost. Those of up to SMALL sets are joined and verified; larger ones are compared in tiles inside a worker, first on
+   prefixes, then the sets that have a likely partner on their whole sets. Only a spanning forest of a tile's links
+   comes out, never all its pairs.
 
 The order is a heuristic that any choice leaves exact: shingles seen twice or more in a slice of documents
 are counted over all documents, and the most common ones (at most MAX_COMMON, the size of a broadcast) go last.
@@ -20,6 +22,8 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +34,10 @@ from .hashing import B1, B2, U, byte_slices, key_groups, mix, row_slices, signed
 
 WORDS, PERCENT = 5, 80
 COMMON, MAX_COMMON, SLICE = 16, 1_000_000, 8192
-#: Sets of a block whose pairs are joined; rows of a tile of larger blocks.
-SMALL, TILE = 64, 512
+#: Sets of a block whose pairs are joined; rows of a tile of larger blocks, and the keys of its sets.
+SMALL, TILE, TILE_KEYS = 64, 512, 1_000_000
+#: Sets of a large block that all its others meet before pairs across components are made.
+PIVOTS = 8
 
 
 def shingles(texts: pa.BinaryArray, size: int) -> list[np.ndarray]:
@@ -174,34 +180,108 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def tile_pairs(rows: DataFrame, test, percent: int, tile: int = TILE) -> DataFrame:
-    """(a, b): pairs of ids of one block, of different components, whose keys pass the test.
+def overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """How many keys each set of x has in common with each of y."""
+    out, flat = np.zeros((len(x), len(y)), np.int64), [np.concatenate(sets) for sets in (x, y)]
+    both, cells = np.intersect1d(*flat), []
+    if not len(both):
+        return out
+    for sets, keys in zip((x, y), flat):
+        row, at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.minimum(np.searchsorted(both, keys), len(both) - 1)
+        hit = np.flatnonzero(both[at] == keys)
+        hit = hit[np.argsort(at[hit], kind="stable")]
+        cells.append((row[hit], at[hit]))
+    for start in range(0, len(both), columns):
+        width, parts = min(columns, len(both) - start), []
+        for sets, (row, at) in zip((x, y), cells):
+            i, j = np.searchsorted(at, (start, start + width))
+            parts.append(np.zeros((len(sets), width), np.float32))
+            parts[-1][row[i:j], at[i:j] - start] = 1
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
 
-    rows(block, id, n, left, lo, hi, keys): left is what the set has from the block's shingle on, lo and hi are the
-    least and the greatest component of the id's members. A block is cut into tiles, and each pair of tiles compared in a worker.
-    """
-    sizes = rows.groupBy(F.col("block").alias("block_")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    placed = rows.join(sizes, F.col("block") == F.col("block_")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    placed = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("i", F.least("own", "k")).withColumn("j", F.greatest("own", "k"))
-    placed = placed.select("block", "i", "j", "own", "id", "n", "left", "lo", "hi", "keys")
 
-    def run(batches):
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that connect what the symmetric matrix of links connects, fewer than it has rows."""
+    new, out = np.ones(len(near), bool), []
+    for k in range(len(near)):
+        reached = [k] if new[k] else []
+        new[k] = False
+        while reached:
+            a = reached.pop()
+            more = np.flatnonzero(near[a] & new)
+            new[more] = False
+            reached += more.tolist()
+            out += [(a, b) for b in more.tolist()]
+    return out
+
+
+def tile_pairs(rows: DataFrame, percent: int, whole, scratch: Scratch, tile: int = TILE) -> DataFrame:
+    """(a, b): links between ids of one block and different components c, enough to connect all that such links connect.
+
+    rows(block, id, n, left, c, keys): left is what the set has from the block's shingle on, keys its prefix in the global
+    order. whole(ids) gives the whole sets (doc, tokens). A block is cut into tiles, and each pair of tiles compared in
+    a worker; the largest component of a block has tiles of its own, which are not compared with each other.
+    """
+    rows = scratch.put(rows, "large")
+    kinds = rows.groupBy(F.col("block").alias("block_"), F.col("c").alias("c_")).agg(F.count("*").alias("m"), F.sum("n").alias("keys_"))
+    tops = kinds.groupBy("block_").agg(F.max(F.struct("m", "keys_", "c_")).alias("top"), F.sum("m").alias("m"), F.sum("keys_").alias("keys_"))
+    cut = lambda m, keys: F.ceil(F.greatest(m / tile, keys / TILE_KEYS)).cast("int")
+    tops = tops.select("block_", F.col("top.c_").alias("top"), cut(F.col("top.m"), F.col("top.keys_")).alias("t"), cut(F.col("m") - F.col("top.m"), F.col("keys_") - F.col("top.keys_")).alias("u"))
+    tops = scratch.put(tops, "tops")
+    mine = F.col("c") == F.col("top")
+    placed = rows.join(tops, F.col("block") == F.col("block_")).where("u > 0")
+    placed = placed.withColumn("own", F.when(mine, F.pmod(F.xxhash64("id"), "t")).otherwise(F.col("t") + F.pmod(F.xxhash64("id"), "u")).cast("int"))
+    placed = placed.withColumn("k", F.explode(F.sequence(F.when(mine, F.col("t")).otherwise(F.lit(0)), F.col("t") + F.col("u") - 1)))
+    placed = placed.select("block", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "id", "n", "left", "c", "keys")
+
+    def sides(g, keys):
+        """The places of both tiles' rows in the group, and their keys."""
+        own, (i, j) = g["own"].to_numpy(), (g[c][0].as_py() for c in "ij")
+        offsets, values = g[keys].offsets.to_numpy(), g[keys].values.to_numpy().view(U)
+        for k in (i, j):
+            at = np.flatnonzero(own == k)
+            yield at, [values[offsets[r] : offsets[r + 1]] for r in at.tolist()]
+
+    def likely(batches):
         for g in key_groups(batches, ("block", "i", "j")):
-            own, ids, n, left, lo, hi = (g[c].to_numpy() for c in ("own", "id", "n", "left", "lo", "hi"))
-            i, j = g["i"][0].as_py(), g["j"][0].as_py()
-            x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            least = np.minimum(left[x][:, None], left[y][None, :])
-            fit = (100 + percent) * least >= percent * (n[x][:, None] + n[y][None, :])
-            apart = (lo[x][:, None] != lo[y][None, :]) | (hi[x][:, None] != hi[y][None, :]) | (lo[x] != hi[x])[:, None]
-            p, q = np.nonzero(fit & apart & ((ids[x][:, None] < ids[y][None, :]) if i == j else (ids[x][:, None] != ids[y][None, :])))
-            offsets, values = g["keys"].offsets.to_numpy(), g["keys"].values.to_numpy().view(U)
-            keys = lambda k: values[offsets[k] : offsets[k + 1]]
-            found = [(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in zip(x[p].tolist(), y[q].tolist()) if test(keys(a), keys(b), n[a], n[b], percent)]
-            if found:
-                a, b = zip(*found)
+            (x, kx), (y, ky) = sides(g, "keys")
+            if not len(x) or not len(y):
+                continue
+            n, left, c = (g[k].to_numpy() for k in ("n", "left", "c"))
+            both = n[x][:, None] + n[y][None, :]
+            may = (c[x][:, None] != c[y][None, :]) & ((100 + percent) * np.minimum(left[x][:, None], left[y][None, :]) >= percent * both)
+            if may.any():  # a pair is taken in the block of the first key that both have
+                block = g["block"].to_numpy().view(U)[0]
+                may &= overlaps([k[: np.searchsorted(k, block)] for k in kx], [k[: np.searchsorted(k, block)] for k in ky]) == 0
+            if may.any():  # up to the lesser of the last keys both prefixes are complete
+                lx, ly = np.array([k[-1] for k in kx], U), np.array([k[-1] for k in ky], U)
+                i, j = (np.array([np.searchsorted(k, last, "right") for k in keys]) for keys, last in ((kx, ly), (ky, lx)))
+                may &= (100 + percent) * (overlaps(kx, ky) + np.minimum(n[x][:, None] - i, n[y][None, :] - j.T)) >= percent * both
+            hit = np.union1d(x[may.any(1)], y[may.any(0)])
+            if len(hit):
+                yield g.take(pa.array(hit)).select(["block", "i", "j", "own", "id", "c"])
+
+    def linked(batches):
+        for g in key_groups(batches, ("block", "i", "j")):
+            (x, kx), (y, ky) = sides(g, "tokens")
+            if not len(x) or not len(y):
+                continue
+            ids, c, both = g["id"].to_numpy(), g["c"].to_numpy(), overlaps(kx, ky)
+            n, m = np.array([len(k) for k in kx])[:, None], np.array([len(k) for k in ky])[None, :]
+            near = np.zeros((len(ids), len(ids)), bool)
+            near[np.ix_(x, y)] = (c[x][:, None] != c[y][None, :]) & (100 * both >= percent * (n + m - both))
+            if found := forest(near | near.T):
+                a, b = zip(*((min(ids[p], ids[q]), max(ids[p], ids[q])) for p, q in found))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return placed.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(run, "a long, b long")
+    grouped = lambda df: df.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
+    chosen = scratch.put(grouped(placed).mapInArrow(likely, "block long, i int, j int, own int, id long, c long"), "chosen")
+    sets = whole(chosen.select(F.col("id").alias("a")).distinct())
+    links = grouped(chosen.join(sets, F.col("id") == F.col("doc")).drop("doc")).mapInArrow(linked, "a long, b long")
+    links = scratch.put(links.distinct(), "tiled")
+    scratch.drop("large", "tops", "chosen")
+    return links
 
 
 def components(spark: SparkSession, docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -236,11 +316,11 @@ def components(spark: SparkSession, docs: DataFrame, size: int = WORDS, percent:
     members = scratch.put(members, "members")
     # rows of blocks: a set's key at a place of its prefix. If the key is the first that two sets share, the
     # intersection is no larger than what either has from there on; a pair is taken where that is enough.
-    rows = first.join(groups.select("gid"), F.col("doc_id") == F.col("gid"), "left_semi").select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("at", "token"))
-    rows = rows.select("token", "gid", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("at")).cast("int").alias("left"))
-    lead = rows.groupBy("token").agg(F.min(F.struct("gid", "n", "left")).alias("lead"), F.max("gid").alias("last")).where("lead.gid <> last")
+    rows = first.drop("n").join(groups.select("gid", "n", "members"), F.col("doc_id") == F.col("gid")).select("gid", "n", "members", F.posexplode("prefix").alias("at", "token"))
+    rows = rows.select("token", "gid", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("at")).cast("int").alias("left"), (F.col("members") > 1).alias("several"))
+    lead = rows.groupBy("token").agg(F.min(F.struct("gid", "n", "left")).alias("lead"), F.max("gid").alias("last"), F.max("several").alias("several")).where("lead.gid <> last OR several")
     lead = scratch.put(lead.select("token", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.left").alias("lead_left")), "leads")
-    blocks = scratch.put(rows.join(lead.withColumnRenamed("token", "__t"), F.col("token") == F.col("__t")).drop("__t"), "blocks")
+    blocks = scratch.put(rows.join(lead.withColumnRenamed("token", "__t"), F.col("token") == F.col("__t")).drop("__t", "several"), "blocks")
     scratch.drop("signatures", "leads")
     fits = lambda n, left, m, right: (100 + percent) * F.least(left, right) >= percent * (F.col(n) + F.col(m))
 
@@ -249,55 +329,61 @@ def components(spark: SparkSession, docs: DataFrame, size: int = WORDS, percent:
     within = members.where("member <> gid").select(F.col("member").alias("a"), F.col("gid").alias("b"))
     pairs = scratch.put(with_lead.distinct().union(within), "pairs")
 
+    def whole(ids: DataFrame, k) -> DataFrame:
+        ids = scratch.put(ids, f"concerned{k}")
+        return scratch.put(sets_of(rows_of(docs.select("doc_id", "text"), ids).dropDuplicates(["doc_id"]), size), f"sets{k}")
+
     def linked(candidates: DataFrame, k: int) -> DataFrame:
         likely = scratch.put(may_link(candidates, first, percent), f"likely{k}")
-        concerned = scratch.put(likely.select("a").union(likely.select("b")).distinct(), f"concerned{k}")
-        texts = rows_of(docs.select("doc_id", "text"), concerned).dropDuplicates(["doc_id"])
-        sets = scratch.put(sets_of(texts, size), f"sets{k}")
+        sets = whole(likely.select("a").union(likely.select("b")).distinct(), k)
         links = scratch.put(verify(likely, sets, percent), f"links{k}")
         scratch.drop(f"sets{k}", f"likely{k}")
         return links
 
-    links = linked(pairs, 1)
-    parts = connected_components(spark, links, scratch)
-
-    # rest: members of one block or group that are in different components
-    label = members.join(parts, F.col("member") == F.col("node"), "left").select("member", "gid", "members", F.coalesce("component", "member").alias("c"))
-    label = scratch.put(label, "labels")
-    spread = scratch.put(label.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "spread")
-    open_ = scratch.put(blocks.join(spread, "gid").select("token", "gid", "n", "left", "lo", "hi"), "open")
-    still = scratch.put(open_.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select(F.col("token").alias("__t")), "still")
-    counted = open_.join(still, F.col("token") == F.col("__t"), "left_semi").groupBy(F.col("token").alias("__t")).agg(F.count("*").alias("size"))
-    counted = scratch.put(counted, "sizes")
-    of = lambda c: open_.join(counted.where(c), F.col("token") == F.col("__t")).drop("__t", "size")
-    x, y = (of(F.col("size") <= SMALL).select(*(F.col(c).alias(f"{c}{k}") for c in open_.columns)) for k in "xy")
-    apart = (F.col("lox") != F.col("loy")) | (F.col("hix") != F.col("hiy")) | (F.col("lox") != F.col("hix"))
-    rest = x.join(y, (F.col("tokenx") == F.col("tokeny")) & (F.col("gidx") < F.col("gidy")) & apart & fits("nx", "leftx", "ny", "lefty"))
-    rest = rest.select(F.col("gidx").alias("ga"), F.col("gidy").alias("gb"))
-    large = of(F.col("size") > SMALL).join(first.select("doc_id", F.col("prefix").alias("keys")), F.col("gid") == F.col("doc_id"))
-    large = large.select(F.col("token").alias("block"), F.col("gid").alias("id"), F.col("n").cast("long").alias("n"), F.col("left").cast("long").alias("left"), "lo", "hi", "keys")
-    rest = rest.union(tile_pairs(large, _may, percent)).distinct()
-    # expand the groups of a pair, and pair the members of one group
-    mine, other = (label.select(F.col("gid").alias(f"g{k}"), F.col("member").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
-    rest = rest.join(mine, "ga").join(other, "gb").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    several = scratch.put(label.where("members > 1").join(spread.where("lo <> hi").select("gid"), "gid", "left_semi"), "several")
-    few = several.where(F.col("members") <= SMALL)
-    mine, other = (few.select(F.col("gid").alias(f"g{k}"), F.col("member").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
-    inside = mine.join(other, (F.col("ga") == F.col("gb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b")
-    rest = rest.union(inside).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = scratch.put(rest, "rest")
-    scratch.drop("blocks", "open", "still", "spread")
-    more = linked(rest, 2)
-    # members of large groups: their texts meet in tiles, and only links come out
-    many = scratch.put(several.where(F.col("members") > SMALL).select("gid", F.col("member").alias("doc_id"), "c"), "many")
-    if many.head(1):
-        texts = docs.select("doc_id", "text").join(many.select(F.col("doc_id").alias("__m")), F.col("doc_id") == F.col("__m"), "left_semi").dropDuplicates(["doc_id"])
-        tiled = sets_of(texts, size).join(many, F.col("doc") == F.col("doc_id"))
-        n = F.size("tokens").cast("long")
-        tiled = tiled.select(F.col("gid").alias("block"), F.col("doc_id").alias("id"), n.alias("n"), n.alias("left"), F.col("c").alias("lo"), F.col("c").alias("hi"), F.col("tokens").alias("keys"))
-        more = scratch.put(more.union(tile_pairs(tiled, _do, percent)), "more")
+    def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+        edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
+        return connected_components(spark, edges, Scratch(spark, "jaccard-parts"))
+
+    def several(parts: DataFrame, k: int) -> DataFrame:
+        """(token, id, n, left, c, size): members of the blocks that hold several components."""
+        label = members.join(parts, F.col("member") == F.col("node"), "left").select(F.col("member").alias("id"), F.col("gid").alias("g"), F.coalesce("component", "member").alias("c"))
+        label = scratch.put(label, f"labels{k}")
+        ends = scratch.put(label.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), f"spread{k}")
+        still = blocks.join(ends, F.col("gid") == F.col("g")).groupBy(F.col("token").alias("t")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("t")
+        still = scratch.put(still, f"still{k}")
+        held = blocks.join(still, F.col("token") == F.col("t"), "left_semi").join(label, F.col("gid") == F.col("g")).select("token", "id", "n", "left", "c")
+        held = scratch.put(held, f"held{k}")
+        sizes = scratch.put(held.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("size")), f"sizes{k}")
+        held = scratch.put(held.join(sizes, F.col("token") == F.col("t")).drop("t"), f"open{k}")
+        scratch.drop(f"labels{k}", f"spread{k}", f"still{k}", f"held{k}", f"sizes{k}")
+        return held
+
+    parts = connected_components(spark, linked(pairs, 1), scratch)
+    apart = (F.col("ca") != F.col("cb")) & fits("na", "lefta", "nb", "leftb")
+    side = lambda df, k: df.select(F.col("token").alias(f"t{k}"), F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("left").alias(f"left{k}"), F.col("c").alias(f"c{k}"))
+    new = lambda found, *told: reduce(lambda x, y: x.join(y, ["a", "b"], "left_anti"), told, found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    # large blocks of several components: the sets meet some of their block, the same ones in blocks that are alike
+    held = several(parts, 1)
+    big = held.where(F.col("size") > PIVOTS)
+    pivots = big.groupBy("token", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("slice")).agg(F.min(F.struct("id", "n", "left", "c")).alias("one")).select("token", "one.*")
+    pivots = scratch.put(pivots, "pivots")
+    tried = scratch.put(new(side(big, "a").join(side(pivots, "b"), (F.col("ta") == F.col("tb")) & apart), pairs), "tried")
+    if tried.head(1):
+        parts = joined(parts, linked(tried, 2))
+        held = several(parts, 2)
+
+    # rest: members of one block that are in different components
+    small = held.where(F.col("size") <= SMALL)
+    rest = side(small, "a").join(side(small, "b"), (F.col("ta") == F.col("tb")) & (F.col("a") < F.col("b")) & apart)
+    more = linked(scratch.put(new(rest, pairs, tried), "rest"), 3)
+    large = held.where(F.col("size") > SMALL).join(first.select("doc_id", F.col("prefix").alias("keys")), F.col("id") == F.col("doc_id"))
+    large = large.select(F.col("token").alias("block"), "id", F.col("n").cast("long").alias("n"), F.col("left").cast("long").alias("left"), "c", "keys")
+    more = more.union(tile_pairs(large, percent, lambda ids: whole(ids, 4), scratch))
+    scratch.drop("blocks", "open1", "open2", "pivots", "tried", "rest")
     if more.head(1):
-        parts = connected_components(spark, links.union(more), scratch)
+        parts = joined(parts, more)
     out = scratch.put(reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("__n"), F.col("s1").alias("__1"), F.col("s2").alias("__2"), F.coalesce("component", "rep").alias("__c")), "result")
     done = sums.join(out, (F.col("n") == F.col("__n")) & (F.col("s1") == F.col("__1")) & (F.col("s2") == F.col("__2")), "left")
     return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("__c", "doc_id")).alias("component_id"))
